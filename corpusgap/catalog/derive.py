@@ -13,7 +13,6 @@ from corpusgap.functions import text as tx
 from corpusgap.operators.pairs import (
     attach_scores,
     domain_pairs,
-    domains_of,
     performance_drop,
     resolve_pairs,
 )
@@ -134,7 +133,8 @@ def line_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolved_pairs(spark: SparkSession, sf_dir: str, tuned: bool = False) -> DataFrame:
-    return resolve_pairs(domain_pairs(domains_of(scores(spark, sf_dir))), tuned)
+    domains = table(spark, sf_dir, "documents").select(F.col("source").alias("domain")).distinct()
+    return resolve_pairs(domain_pairs(domains), tuned)
 
 
 def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

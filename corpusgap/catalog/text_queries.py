@@ -9,7 +9,7 @@ from corpusgap.catalog import derive
 from corpusgap.functions import fixed_values as fixed
 from corpusgap.functions import text as tx
 from corpusgap.operators import chunks, distance, ingest, pairs, profile, syntax, tfidf
-from corpusgap.runtime import shared_folder
+from corpusgap.runtime import pin, shared_folder
 from corpusgap.sources import corpora, tables
 from corpusgap.sources.specs import CorpusSpec
 
@@ -146,7 +146,7 @@ def term_frequency(spark: SparkSession, sf: str) -> DataFrame:
 def term_probability(spark: SparkSession, sf: str) -> DataFrame:
     corpus = derive.corpus(spark, sf)
     probabilities = profile.term_probability(
-        profile.term_counts(corpus), profile.groups_fit(corpus)
+        pin(profile.term_counts(corpus)), profile.groups_fit(corpus)
     )
     return probabilities.withColumn("p", F.round("p", 9)).orderBy("domain", "split", "p", "term")
 
@@ -189,7 +189,7 @@ def tfidf_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Overlap of the 300 top terms, so that the cut matters on test data."""
     corpus = derive.corpus(spark, sf)
     few = profile.groups_fit(corpus)
-    top = tfidf.top_terms(corpus, few, 300)
+    top = pin(tfidf.top_terms(corpus, few, 300))
     return rounded(distance.overlap_share(top, derive.resolved_pairs(spark, sf), few, "tf-idf-overlap"),
                    "tf-idf-overlap")
 
@@ -197,7 +197,7 @@ def tfidf_overlap(spark: SparkSession, sf: str) -> DataFrame:
 def vocab_overlap(spark: SparkSession, sf: str) -> DataFrame:
     corpus = derive.corpus(spark, sf)
     found = distance.overlap_share(
-        profile.term_counts(corpus), derive.resolved_pairs(spark, sf), profile.groups_fit(corpus),
+        pin(profile.term_counts(corpus)), derive.resolved_pairs(spark, sf), profile.groups_fit(corpus),
         "vocab-overlap",
     )
     return rounded(found, "vocab-overlap")
@@ -207,7 +207,7 @@ def global_distribution(spark: SparkSession, sf: str) -> DataFrame:
     """Both filled distributions of the in-domain pairs, train against test."""
     corpus = derive.corpus(spark, sf)
     wanted = derive.resolved_pairs(spark, sf).where("da_type = 'in-domain-adapt'")
-    found = distance.global_distribution(profile.term_counts(corpus), wanted,
+    found = distance.global_distribution(pin(profile.term_counts(corpus)), wanted,
                                          profile.groups_fit(corpus))
     return found.withColumns({
         **{f"{c}_filled": F.col(c) == fixed.EPSILON for c in ("p", "q")},
@@ -218,7 +218,7 @@ def global_distribution(spark: SparkSession, sf: str) -> DataFrame:
 def _divergences(spark: SparkSession, sf: str) -> DataFrame:
     corpus = derive.corpus(spark, sf)
     return distance.distribution_distances(
-        profile.term_counts(corpus), derive.resolved_pairs(spark, sf), profile.groups_fit(corpus)
+        pin(profile.term_counts(corpus)), derive.resolved_pairs(spark, sf), profile.groups_fit(corpus)
     )
 
 
@@ -238,7 +238,7 @@ def language_distances(spark: SparkSession, sf: str) -> DataFrame:
     wanted = pairs.resolve_pairs(
         pairs.domain_pairs(corpus.select("domain").distinct()), tuned=False
     ).where("da_type = 'single-domain-adapt'")
-    found = distance.distribution_distances(profile.term_counts(corpus), wanted,
+    found = distance.distribution_distances(pin(profile.term_counts(corpus)), wanted,
                                             profile.groups_fit(corpus))
     return rounded(found.drop("source_split", "target_split"), "vocab-overlap", "kl-divergence",
                    "js-divergence", "source_shannon_entropy", "target_shannon_entropy")
@@ -257,7 +257,7 @@ def pair_distances(spark: SparkSession, sf: str) -> DataFrame:
     corpus = derive.corpus(spark, sf)
     few = profile.groups_fit(corpus)
     found = distance.pair_distances(
-        profile.term_counts(corpus), tfidf.top_terms(corpus, few), derive.vectors(spark, sf),
+        pin(profile.term_counts(corpus)), pin(tfidf.top_terms(corpus, few)), derive.vectors(spark, sf),
         derive.resolved_pairs(spark, sf), few,
     )
     return rounded(found, *[c for c in found.columns if c not in distance.PAIR])

@@ -1,7 +1,7 @@
 """Distances between corpora for a list of pairs.
 
 Pairs are rows (source, source_split, target, target_split). All pairs are computed together
-from one table of term counts. A term has at most one row per (domain, split), so the
+from one pinned table of term counts. A term has at most one row per (domain, split), so the
 self-join on the term is bounded by the number of corpora and not by their size, and its rows
 are summed up per pair in the task that makes them.
 """
@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 from corpusgap.functions.fixed_values import EPSILON
 from corpusgap.operators.profile import GROUP, group_totals, term_probability
 from corpusgap.operators.ranking import exact_rank
-from corpusgap.runtime import small_side
+from corpusgap.runtime import pin, small_side
 
 PAIR = ["source", "source_split", "target", "target_split"]
 
 
 def _numbered(groups: DataFrame) -> DataFrame:
     """Give every (domain, split) a small integer. There is one row per corpus, not per text."""
-    return groups.withColumn("gid", F.row_number().over(Window.orderBy(*GROUP)))
+    return pin(groups.withColumn("gid", F.row_number().over(Window.orderBy(*GROUP))))
 
 
 def _with_groups(pairs: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
@@ -64,29 +64,26 @@ def _shared_sums(encoded: DataFrame, wanted: DataFrame, sums: list[Column],
         .groupBy("a_gid", "b_gid").agg(*sums)
     )
     names = [c for c in shared.columns if c not in ("a_gid", "b_gid")]
-    swap = {"a_": "b_", "b_": "a_"}
-    side_name = {"a_": "s_", "b_": "t_"}
 
-    def oriented(forward: bool) -> DataFrame:
-        columns = []
+    def oriented(source: str, target: str) -> Column:
+        """One row read as a pair from `source` to `target` (a to b, or b to a)."""
+        new_name = {}
         for name in ["a_gid", "b_gid", *names]:
-            head, rest = name[:2], name[2:]
-            if head in swap:
-                target = head if forward else swap[head]
-                columns.append(F.col(name).alias(side_name[target] + rest))
-            else:
-                columns.append(F.col(name))
-        return shared.select(*columns)
-
-    both = oriented(True).unionByName(oriented(False))
+            side, _, rest = name.partition("_")
+            side = {source: "s", target: "t"}.get(side)
+            new_name[f"{side}_{rest}" if side else name] = name
+        return F.struct(*[F.col(new_name[n]).alias(n) for n in sorted(new_name)])
+
+    both = shared.select(F.inline(F.array(oriented("a", "b"), oriented("b", "a"))))
     return wanted.join(small_side(both, few), ["s_gid", "t_gid"], "left")
 
 
 def overlap_share(terms: DataFrame, pairs: DataFrame, few: bool, name: str) -> DataFrame:
     """100 * shared terms / terms of the target, 0 for a target without terms."""
+    terms = terms.select(*GROUP, "term")
     groups = _numbered(terms.groupBy(*GROUP).agg(F.count("*").alias("vocab_size")))
     encoded = terms.join(small_side(groups.select(*GROUP, "gid"), few), GROUP).select("gid", "term")
-    wanted = _with_groups(pairs, groups, few)
+    wanted = pin(_with_groups(pairs, groups, few))
     joined = _shared_sums(encoded, wanted, [F.count("*").alias("shared")], few)
     return joined.select(*PAIR, _overlap(F.col("shared")).alias(name))
 
@@ -112,7 +109,7 @@ def distribution_distances(terms: DataFrame, pairs: DataFrame, few: bool) -> Dat
     encoded = terms.join(
         small_side(groups.select(*GROUP, "gid", "word_count"), few), GROUP
     ).select("gid", "term", (F.col("n") / F.col("word_count")).alias("p"))
-    wanted = _with_groups(pairs, groups, few)
+    wanted = pin(_with_groups(pairs, groups, few))
 
     a, b = F.col("a_p"), F.col("b_p")
     log_a, log_b, log_mean = F.ln(a), F.ln(b), F.ln((a + b) / 2)
@@ -211,9 +208,9 @@ def contextual_overlap(vectors: DataFrame, pairs: DataFrame, few: bool) -> DataF
     """
     ids = vectors.select(*GROUP, "doc_id")
     sizes = ids.groupBy(*GROUP).agg(F.count("*").alias("size"))
-    sized = _with_groups(pairs, sizes, few).where(
+    sized = pin(_with_groups(pairs, sizes, few).where(
         F.col("s_size").isNotNull() & F.col("t_size").isNotNull()
-    ).withColumn("kept", F.least("s_size", "t_size"))
+    ).withColumn("kept", F.least("s_size", "t_size")))
 
     def cuts_of(name: str) -> DataFrame:
         return sized.select(F.col(name).alias("domain"), F.col(f"{name}_split").alias("split"),

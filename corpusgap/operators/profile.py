@@ -19,7 +19,11 @@ GROUP = ["domain", "split"]
 
 def term_counts(corpus: DataFrame, stop_words=fixed.ENGLISH_STOP_WORDS,
                 marks=fixed.SPECIAL_TOKENS) -> DataFrame:
-    """(domain, split, term, n). The map side combines the counts before the shuffle."""
+    """(domain, split, term, n). The map side combines the counts before the shuffle.
+
+    Whoever reads the counts several times should `pin` them first, or texts are tokenized
+    once per reader.
+    """
     return (
         corpus.select(*GROUP, F.explode(tx.tokens(F.col("text"))).alias("term"))
         .where(tx.is_term(F.col("term"), stop_words, marks))

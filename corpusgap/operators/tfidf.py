@@ -13,17 +13,34 @@ from corpusgap.functions import fixed_values as fixed
 from corpusgap.functions import text as tx
 from corpusgap.operators.profile import GROUP
 from corpusgap.operators.ranking import top_n
-from corpusgap.runtime import small_side
+from corpusgap.runtime import pin, small_side
 
 
 def document_terms(corpus: DataFrame, stop_words=fixed.ENGLISH_STOP_WORDS) -> DataFrame:
-    """(domain, split, doc_id, term, tf) for words of at least two characters."""
+    """(domain, split, doc_id, term, tf) for words of at least two characters.
+
+    The words of a document are counted inside its row, as runs of the sorted word list, so
+    counting needs no shuffle.
+    """
+    words = corpus.select(
+        *GROUP, "doc_id", F.sort_array(tx.tokens(F.col("text"), tx.LONG_WORD)).alias("words")
+    ).where(F.size("words") > 0)
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size("words") - 1),
+        lambda i: (i == 0) | (F.get("words", i) != F.get("words", i - 1)),
+    )
+
+    def run(start, j):
+        end = F.coalesce(F.get("starts", j + 1), F.size("words"))
+        return F.struct(F.get("words", start).alias("term"),
+                        (end - start).cast("bigint").alias("tf"))
+
+    runs = F.transform("starts", run)
+    # inline_outer: no list is empty, and inline would make Spark count twice to test for that
     return (
-        corpus.select(*GROUP, "doc_id",
-                      F.explode(tx.tokens(F.col("text"), tx.LONG_WORD)).alias("term"))
+        words.withColumn("starts", starts)
+        .select(*GROUP, "doc_id", F.inline_outer(runs))
         .where(~F.col("term").isin(*stop_words))
-        .groupBy(*GROUP, "doc_id", "term")
-        .agg(F.count("*").alias("tf"))
     )
 
 
@@ -31,11 +48,12 @@ def document_weights(corpus: DataFrame, groups_are_few: bool,
                      stop_words=fixed.ENGLISH_STOP_WORDS) -> DataFrame:
     """(domain, split, doc_id, term, tf, weight) with rows of unit length per document.
 
+    Counts are stored once and read twice, for the document frequencies and for the weights.
     The join on (domain, split, term) has one long side; a term found in very many documents
     makes a skewed partition that adaptive execution splits. The norm is a window over one
     document, whose terms came from one input row.
     """
-    pairs = document_terms(corpus, stop_words)
+    pairs = pin(document_terms(corpus, stop_words))
     sizes = small_side(corpus.groupBy(*GROUP).agg(F.count("*").alias("_docs")), groups_are_few)
     idf = (
         pairs.groupBy(*GROUP, "term").agg(F.count("*").alias("_df"))

@@ -42,8 +42,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Checkpoint df in the shared folder, so that all later readers see the same rows."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
-    return df.checkpoint()
+    """Write df to the shared folder and read it back.
+
+    Everything later starts from that table: it is computed once however many readers it has,
+    all of them see the same rows, and a lost executor does not bring its sources back.
+    """
+    path = shared_folder(df.sparkSession, "pinned")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
