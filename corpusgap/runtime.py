@@ -31,14 +31,24 @@ def use_all_cores(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder that all executors see (spark.checkpoint.dir)."""
+_local_roots: list[str] = []
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors see: spark.checkpoint.dir. Local runs may go without."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        root = tempfile.mkdtemp(prefix="corpusgap-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not _local_roots:
+            _local_roots.append(tempfile.mkdtemp(prefix="corpusgap-"))
+        root = _local_roots[0]
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def pin(df: DataFrame) -> DataFrame:
