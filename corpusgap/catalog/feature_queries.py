@@ -14,6 +14,7 @@ from corpusgap.functions import stats
 from corpusgap.operators import features, ingest, models, pairs
 from corpusgap.plans import feature_table as plan
 from corpusgap.plans import regression, report
+from corpusgap.runtime import sized_for_fitting
 
 SOURCE_METRICS = [f"source_{m}" for m in fixed.METRICS]
 LINE_COLUMNS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
@@ -206,7 +207,8 @@ def _tree_fit(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """Hold-out metrics of a tree model on the pair feature table."""
     matrix = regression.design_matrix(regression.derive(_keyed(spark, sf), "all-norm"), "all-norm")
     columns = regression.split_columns(matrix)[0]
-    data = regression.prepare(matrix.dropna(), columns).persist()
+    matrix = matrix.dropna()
+    data = sized_for_fitting(regression.prepare(matrix, columns), matrix.count()).persist()
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
     fitted = regression.tuned_estimator(name, train, columns).fit(train)
     return models.regression_metrics(fitted.transform(test))

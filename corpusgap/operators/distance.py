@@ -256,6 +256,7 @@ def contextual_overlap(vectors: DataFrame, pairs: DataFrame, few: bool) -> DataF
 def pair_distances(terms: DataFrame, top: DataFrame, vectors: DataFrame, pairs: DataFrame,
                    few: bool) -> DataFrame:
     """All seven numbers of every pair: overlaps, entropies, divergences, mean cosine."""
+    pairs = pin(pairs.select(*PAIR).distinct())
     return (
         distribution_distances(terms, pairs, few)
         .join(overlap_share(top, pairs, few, "tf-idf-overlap"), PAIR, "left")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from corpusgap.functions import fixed_values as fixed
 from corpusgap.operators import features, ingest, models
+from corpusgap.runtime import at_once, sized_for_fitting
 
 LABEL = "y_drop"
 ROW_KEY = "row_key"
@@ -114,12 +115,12 @@ def kfold_metrics(df: DataFrame, make_estimator, folds: int = fixed.SCORE_FOLDS,
 
     With compat "mse" is the mean root of mse and "rmse" the mean root of rmse.
     """
-    predicted = []
-    for fold in range(folds):
+    def out_of_fold(fold: int) -> DataFrame:
         train = df.where(F.col("fold") != fold)
         model = make_estimator(train).fit(train)
-        predicted.append(model.transform(df.where(F.col("fold") == fold))
-                         .select("fold", "label", "prediction"))
+        return model.transform(df.where(F.col("fold") == fold)).select("fold", "label", "prediction")
+
+    predicted = at_once(df.sparkSession, out_of_fold, range(folds))
     per_fold = models.regression_metrics(reduce(DataFrame.unionByName, predicted), by=("fold",))
     mse, rmse = F.col("mse"), F.col("rmse")
     if compat:
@@ -144,16 +145,17 @@ def run_regression(table: DataFrame, mode: str, feature_selection: bool,
     columns, selected = [*numeric, *categories], []
     if feature_selection:
         columns, selected = models.select_features(matrix, columns, LABEL)
-    data = prepare(matrix, columns, compat=compat).persist()
+    data = sized_for_fitting(prepare(matrix, columns, compat=compat), matrix.count()).persist()
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
-    scores: dict[str, float | None] = {}
-    for name in model_names:
+
+    def score(name: str) -> dict[str, float | None]:
         prefix = "" if name == "linear" else f"{name}-"
         fitted = tuned_estimator(name, train, columns).fit(train)
         holdout = models.regression_metrics(fitted.transform(test)).first()
-        scores |= _named(holdout, prefix)
-        folded = kfold_metrics(data, lambda part, n=name: default_estimator(n, part), compat=compat)
-        scores |= _named(folded.first(), f"{prefix}k-fold-")
+        folded = kfold_metrics(data, lambda part: default_estimator(name, part), compat=compat)
+        return _named(holdout, prefix) | _named(folded.first(), f"{prefix}k-fold-")
+
+    scores = reduce(lambda a, b: a | b, at_once(table.sparkSession, score, model_names))
     data.unpersist()
     matrix.unpersist()
     schema = T.StructType(
@@ -170,18 +172,19 @@ def sweep(table: DataFrame, counts: tuple[int, ...] = fixed.SWEEP_DOMAIN_COUNTS,
           compat: bool = False) -> tuple[DataFrame, DataFrame]:
     """(result rows, how often each feature was selected per mode) over selection off and on,
     the first n domains, and modes."""
-    spark = table.sparkSession
-    results, chosen = [], []
-    for selection in (False, True):
-        for n in counts:
-            part = features.first_domains(table, n).persist()
-            for mode in modes:
-                row, selected = run_regression(part, mode, selection, model_names, compat)
-                results.append(row.withColumn("num_datasets", F.lit(n)))
-                chosen += [(mode, n, f) for f in selected]
-            part.unpersist()
-    selections = spark.createDataFrame(chosen, "features string, num_datasets int, feature string")
-    return reduce(DataFrame.unionByName, results), selection_counts(selections)
+    runs = [(selection, n, mode) for selection in (False, True) for n in counts for mode in modes]
+
+    def run(setting: tuple[bool, int, str]) -> tuple[DataFrame, list[tuple[str, int, str]]]:
+        selection, n, mode = setting
+        part = features.first_domains(table, n)
+        row, selected = run_regression(part, mode, selection, model_names, compat)
+        return row.withColumn("num_datasets", F.lit(n)), [(mode, n, f) for f in selected]
+
+    done = at_once(table.sparkSession, run, runs, threads=4)
+    selections = table.sparkSession.createDataFrame(
+        [line for _, lines in done for line in lines],
+        "features string, num_datasets int, feature string")
+    return reduce(DataFrame.unionByName, [row for row, _ in done]), selection_counts(selections)
 
 
 def selection_counts(selections: DataFrame) -> DataFrame:

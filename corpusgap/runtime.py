@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,18 @@ def use_all_cores(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
 
 
+def sized_for_fitting(df: DataFrame, rows: int, rows_per_task: int = 50_000) -> DataFrame:
+    """Merge partitions that hold few rows. Iterative fits run many short jobs over the same
+    rows, and a task per handful of rows only adds overhead; long tables keep their partitions."""
+    return df.coalesce(-(-max(rows, 1) // rows_per_task))
+
+
+def at_once(session: SparkSession, run: Callable, items: Iterable, threads: int = 8) -> list:
+    """Results of run(item) in order, with several Spark jobs submitted at the same time."""
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(inheritable_thread_target(session)(run), items))
+
+
 _local_roots: list[str] = []
 
 
