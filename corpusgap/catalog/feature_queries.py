@@ -157,7 +157,8 @@ def _fitted(spark: SparkSession, sf: str, name: str) -> DataFrame:
     penalty = {
         "linear": lambda: 0.0,
         "ridge": lambda: models.ridge_penalty(train, LINE_COLUMNS, "label"),
-        "lasso": lambda: models.lasso_penalty(train, LINE_COLUMNS, "label", "lasso_fold"),
+        "lasso": lambda: models.lasso_penalty(
+            models.moments(train, LINE_COLUMNS, "label", "lasso_fold")),
     }[name]()
     estimator = {"linear": lambda: models.linear(), "ridge": lambda: models.ridge(train, penalty),
                  "lasso": lambda: models.lasso(penalty)}[name]()

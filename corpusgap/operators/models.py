@@ -132,15 +132,15 @@ def centred(total: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float, np
 
 
 def ridge_penalty(df: DataFrame, columns: list[str], label: str,
-                  penalties=fixed.RIDGE_PENALTIES) -> float:
+                  penalties=fixed.RIDGE_PENALTIES, total: np.ndarray | None = None) -> float:
     """The penalty with the smallest leave-one-out error.
 
-    One pass gives the products of the columns; a second adds up the squared left-out
-    residuals of all penalties, residual / (1 - leverage), without any refit.
+    One pass gives the products of the columns, unless the caller has them; a second adds up
+    the squared left-out residuals of all penalties, residual / (1 - leverage), without refits.
     """
-    n, gram, cross, _, means, mean = centred(
-        sum(moments(df.withColumn("_one", F.lit(0)), columns, label, "_one").values())
-    )
+    if total is None:
+        total = sum(moments(df.withColumn("_one", F.lit(0)), columns, label, "_one").values())
+    n, gram, cross, _, means, mean = centred(total)
     inverses = [np.linalg.inv(gram + a * np.eye(len(columns))) for a in penalties]
     names = [*columns, label]
 
@@ -162,32 +162,48 @@ def ridge_penalty(df: DataFrame, columns: list[str], label: str,
 
 
 def lasso_coefficients(gram: np.ndarray, cross: np.ndarray, n: float, penalty: float,
-                       start: np.ndarray) -> np.ndarray:
-    """Minimizer of |y - Xb|² / 2n + penalty |b|₁ from the column products alone."""
-    beta = start.copy()
-    diagonal = np.diag(gram)
-    for _ in range(10_000):
-        moved = 0.0
-        for j in range(len(beta)):
-            if diagonal[j] <= 0:
-                continue
-            rest = cross[j] - gram[j] @ beta + diagonal[j] * beta[j]
-            new = math.copysign(max(abs(rest) - n * penalty, 0.0), rest) / diagonal[j]
-            moved = max(moved, abs(new - beta[j]) * math.sqrt(diagonal[j] / n))
-            beta[j] = new
-        if moved < 1e-12:
-            break
+                       start: np.ndarray, rounds: int = 1_000) -> np.ndarray:
+    """Minimizer of |y - Xb|² / 2n + penalty |b|₁ from the column products alone.
+
+    Coordinate descent finds which coefficients are not zero; every few rounds these are solved
+    for exactly, and the solution is taken once it meets the optimality conditions.
+    """
+    beta, limit, diagonal = start.copy(), n * penalty, np.diag(gram)
+    usable = [j for j in range(len(beta)) if diagonal[j] > 1e-12 * n]
+    slope = cross - gram @ beta
+    for done in range(rounds):
+        for j in usable:
+            rest = slope[j] + diagonal[j] * beta[j]
+            new = math.copysign(max(abs(rest) - limit, 0.0), rest) / diagonal[j]
+            if new != beta[j]:
+                slope -= gram[:, j] * (new - beta[j])
+                beta[j] = new
+        if done % 5 == 4:
+            exact = _lasso_on(np.flatnonzero(beta), np.sign(beta), gram, cross, limit)
+            if exact is not None:
+                return exact
     return beta
 
 
-def lasso_penalty(df: DataFrame, columns: list[str], label: str, fold: str,
-                  length: int = fixed.LASSO_PATH_LENGTH, eps: float = fixed.LASSO_PATH_EPS) -> float:
+def _lasso_on(active: np.ndarray, signs: np.ndarray, gram: np.ndarray, cross: np.ndarray,
+              limit: float) -> np.ndarray | None:
+    """The solution with these non-zero coefficients and signs, if it is optimal."""
+    beta = np.zeros(len(cross))
+    if len(active):
+        block = gram[np.ix_(active, active)]
+        beta[active] = np.linalg.lstsq(block, cross[active] - limit * signs[active], rcond=None)[0]
+    slope = np.abs(cross - gram @ beta)
+    fits = np.all(np.sign(beta[active]) == signs[active])
+    return beta if fits and np.all(slope <= limit + 1e-9 * (limit + np.abs(cross).max())) else None
+
+
+def lasso_penalty(parts: dict[int, np.ndarray], length: int = fixed.LASSO_PATH_LENGTH,
+                  eps: float = fixed.LASSO_PATH_EPS) -> float:
     """The penalty of the smallest mean squared error over the folds, on a geometric path.
 
-    One pass over the rows gives the column products per fold; every fit and every validation
-    error on the path follows from these.
+    `parts` are the column products per fold, from one pass over the rows; every fit and every
+    validation error on the path follows from these.
     """
-    parts = moments(df, columns, label, fold)
     total = sum(parts.values())
     n, _, cross, _, _, _ = centred(total)
     largest = np.max(np.abs(cross)) / n
@@ -196,7 +212,7 @@ def lasso_penalty(df: DataFrame, columns: list[str], label: str, fold: str,
     for f, held_out in enumerate(parts.values()):
         m, gram, products, _, means, mean = centred(total - held_out)
         size = held_out[0, 0]
-        beta = np.zeros(len(columns))
+        beta = np.zeros(len(cross))
         for i, penalty in enumerate(path):
             beta = lasso_coefficients(gram, products, m, penalty, beta)
             # squared error of y - mean - (x - means) b, from the products of (1, x, y)
@@ -205,6 +221,67 @@ def lasso_penalty(df: DataFrame, columns: list[str], label: str, fold: str,
     return float(path[int(np.argmin(errors.mean(axis=0)))])
 
 
+def linear_solution(name: str, total: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+    """Intercept and coefficients of a linear model from column products alone."""
+    n, gram, cross, _, means, mean = centred(total)
+    if name == "linear":
+        beta = np.linalg.lstsq(gram, cross, rcond=1e-12)[0]
+    elif name == "ridge":
+        beta = np.linalg.solve(gram + penalty * np.eye(len(cross)), cross)
+    else:
+        beta = lasso_coefficients(gram, cross, n, penalty, np.zeros(len(cross)))
+    return float(mean - means @ beta), beta
+
+
+def linear_expression(solution: tuple[float, np.ndarray], columns: list[str]) -> Column:
+    intercept, beta = solution
+    terms = [f"`{c}` * {float(b)!r}D" for c, b in zip(columns, beta) if b != 0]
+    return F.expr(" + ".join([f"{float(intercept)!r}D", *terms]))
+
+
+LINEAR = ("linear", "ridge", "lasso")
+
+
+def score_linear(data: DataFrame, columns: list[str], names: list[str],
+                 folds: int = fixed.SCORE_FOLDS) -> DataFrame:
+    """(model, part, mse, mae, rmse, r2) of linear models; part -1 is the hold-out, 0.. are folds.
+
+    `data` has label, is_test, fold, lasso_fold and the scaled columns. All fits, tuned for the
+    hold-out and with penalty 1 for the folds, follow from one pass of column products; ridge
+    tuning takes a second pass and the errors of all models a last one.
+    """
+    lassos = fixed.LASSO_FOLDS
+    cell = (F.col("is_test").cast("int") * folds + F.col("fold")) * lassos + F.col("lasso_fold")
+    cells = moments(data.withColumn("_cell", cell), columns, "label", "_cell")
+
+    def where(keep) -> np.ndarray:
+        return sum(m for c, m in cells.items() if keep(c // (folds * lassos), c // lassos % folds, c % lassos))
+
+    train = where(lambda test, fold, lasso: not test)
+    tuned = {
+        "linear": lambda: 0.0,
+        "ridge": lambda: ridge_penalty(data.where(~F.col("is_test")), columns, "label", total=train),
+        "lasso": lambda: lasso_penalty({
+            i: where(lambda test, fold, lasso, i=i: not test and lasso == i) for i in range(lassos)
+            if any(c // (folds * lassos) == 0 and c % lassos == i for c in cells)}),
+    }
+    rows = []
+    for name in names:
+        holdout = linear_expression(linear_solution(name, train, tuned[name]()), columns)
+        rows.append((name, F.lit(-1), F.when(F.col("is_test"), holdout)))
+        folded = None
+        for f in range(folds):
+            total = where(lambda test, fold, lasso, f=f: fold != f)
+            value = linear_expression(linear_solution(name, total, 1.0), columns)
+            folded = F.when(F.col("fold") == f, value) if folded is None else folded.when(
+                F.col("fold") == f, value)
+        rows.append((name, F.col("fold"), folded))
+    structs = [F.struct(F.lit(n).alias("model"), part.cast("int").alias("part"),
+                        F.col("label"), value.alias("prediction")) for n, part, value in rows]
+    predictions = data.select(F.inline(F.array(*structs))).where("prediction is not null")
+    return regression_metrics(predictions, by=("model", "part"))
+
+
 def assembled(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """Add the vector column `features` and the column `label`."""
     renamed = df.withColumn("label", F.col(label).cast("double"))

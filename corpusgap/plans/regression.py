@@ -92,7 +92,8 @@ def tuned_estimator(name: str, train: DataFrame, columns: list[str]):
     if name == "ridge":
         return models.ridge(train, models.ridge_penalty(train, columns, "label"))
     if name == "lasso":
-        return models.lasso(models.lasso_penalty(train, columns, "label", "lasso_fold"))
+        return models.lasso(models.lasso_penalty(
+            models.moments(train, columns, "label", "lasso_fold")))
     if name == "boosted":
         return models.boosted()
     if name == "forest":
@@ -134,6 +135,39 @@ def _named(row, prefix: str) -> dict[str, float | None]:
             for m in ("mse", "mae", "rmse", "r2")}
 
 
+def linear_scores(data: DataFrame, columns: list[str], names: list[str],
+                  compat: bool = False) -> dict[str, float | None]:
+    """Hold-out and k-fold scores of the linear models, all from three passes."""
+    if not names:
+        return {}
+    found = {(r["model"], r["part"]): r for r in models.score_linear(data, columns, names).collect()}
+    scores = {}
+    for name in names:
+        prefix = "" if name == "linear" else f"{name}-"
+        scores |= _named(found[name, -1], prefix)
+        folded = [row for (model, part), row in found.items() if model == name and part >= 0]
+        scores |= _named(_fold_means(folded, compat), f"{prefix}k-fold-")
+    return scores
+
+
+def _fold_means(rows: list, compat: bool) -> dict[str, float | None]:
+    def mean(metric: str, root: bool) -> float | None:
+        values = [row[metric] for row in rows if row[metric] is not None]
+        return sum(v ** 0.5 if root else v for v in values) / len(values) if values else None
+
+    return {m: mean(m, compat and m in ("mse", "rmse")) for m in ("mse", "mae", "rmse", "r2")}
+
+
+def other_scores(data: DataFrame, columns: list[str], name: str,
+                 compat: bool = False) -> dict[str, float | None]:
+    """Hold-out and k-fold scores of one MLlib model."""
+    train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
+    fitted = tuned_estimator(name, train, columns).fit(train)
+    holdout = models.regression_metrics(fitted.transform(test)).first()
+    folded = kfold_metrics(data, lambda part: default_estimator(name, part), compat=compat)
+    return _named(holdout, f"{name}-") | _named(folded.first(), f"{name}-k-fold-")
+
+
 def run_regression(table: DataFrame, mode: str, feature_selection: bool,
                    model_names: tuple[str, ...] = MODELS,
                    compat: bool = False) -> tuple[DataFrame, list[str]]:
@@ -146,16 +180,10 @@ def run_regression(table: DataFrame, mode: str, feature_selection: bool,
     if feature_selection:
         columns, selected = models.select_features(matrix, columns, LABEL)
     data = sized_for_fitting(prepare(matrix, columns, compat=compat), matrix.count()).persist()
-    train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
-
-    def score(name: str) -> dict[str, float | None]:
-        prefix = "" if name == "linear" else f"{name}-"
-        fitted = tuned_estimator(name, train, columns).fit(train)
-        holdout = models.regression_metrics(fitted.transform(test)).first()
-        folded = kfold_metrics(data, lambda part: default_estimator(name, part), compat=compat)
-        return _named(holdout, prefix) | _named(folded.first(), f"{prefix}k-fold-")
-
-    scores = reduce(lambda a, b: a | b, at_once(table.sparkSession, score, model_names))
+    scores = linear_scores(data, columns, [n for n in model_names if n in models.LINEAR], compat)
+    others = [n for n in model_names if n not in models.LINEAR]
+    for found in at_once(data.sparkSession, lambda n: other_scores(data, columns, n, compat), others):
+        scores |= found
     data.unpersist()
     matrix.unpersist()
     schema = T.StructType(
