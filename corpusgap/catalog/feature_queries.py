@@ -14,7 +14,7 @@ from corpusgap.functions import stats
 from corpusgap.operators import features, ingest, models, pairs
 from corpusgap.plans import feature_table as plan
 from corpusgap.plans import regression, report
-from corpusgap.runtime import sized_for_fitting
+from corpusgap.runtime import sized_for_fitting, use_all_cores
 
 SOURCE_METRICS = [f"source_{m}" for m in fixed.METRICS]
 LINE_COLUMNS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
@@ -129,7 +129,7 @@ def category_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    lines = derive.table(spark, sf, "lineitem")
+    lines = use_all_cores(derive.table(spark, sf, "lineitem"), "l_orderkey")
     key = F.concat_ws("-", "l_orderkey", "l_linenumber")
     return ingest.holdout(lines.withColumn("row_key", key), "row_key")
 
