@@ -276,10 +276,11 @@ select {PAIR}, round(overlap, 6) as "tf-idf-overlap" from shares""",
 with {TERMS}, {PAIRS}, {LISTED}, shares as ({overlap_of("terms")})
 select {PAIR}, round(overlap, 6) as "vocab-overlap" from shares""",
     "global_distribution": f"""
-with {TERMS}, {PAIRS}, chosen as (select * from resolved where da_type = 'in-domain-adapt'),
-{union_distribution(pairs="chosen")}
-select {PAIR}, term, round(p, 12) as p, round(q, 12) as q, p = {EPS} as p_filled, q = {EPS} as q_filled
-from filled""",
+with {TERMS}, {PAIRS}, {union_distribution()}
+select {PAIR}, count(*) as terms, count(*) filter (p = {EPS}) as p_filled,
+       count(*) filter (q = {EPS}) as q_filled, round(sum(p), 6) as p_mass,
+       round(sum(q), 6) as q_mass, round(max(p), 6) as p_max, round(max(q), 6) as q_max
+from filled group by all""",
     "kl_divergence": f"""
 with {TERMS}, {PAIRS}, {union_distribution()}
 select {PAIR}, round(kl, 6) as "kl-divergence" from divergences""",

@@ -204,15 +204,19 @@ def vocab_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def global_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    """Both filled distributions of the in-domain pairs, train against test."""
+    """The filled distributions of all pairs, summed up per pair: terms, fills, masses, maxima."""
     corpus = derive.corpus(spark, sf)
-    wanted = derive.resolved_pairs(spark, sf).where("da_type = 'in-domain-adapt'")
-    found = distance.global_distribution(pin(profile.term_counts(corpus)), wanted,
-                                         profile.groups_fit(corpus))
-    return found.withColumns({
-        **{f"{c}_filled": F.col(c) == fixed.EPSILON for c in ("p", "q")},
-        **{c: F.round(c, 12) for c in ("p", "q")},
-    })
+    filled = distance.global_distribution(
+        pin(profile.term_counts(corpus)), derive.resolved_pairs(spark, sf), profile.groups_fit(corpus)
+    )
+    found = filled.groupBy(*distance.PAIR).agg(
+        F.count("*").alias("terms"),
+        F.count_if(F.col("p") == fixed.EPSILON).alias("p_filled"),
+        F.count_if(F.col("q") == fixed.EPSILON).alias("q_filled"),
+        F.sum("p").alias("p_mass"), F.sum("q").alias("q_mass"),
+        F.max("p").alias("p_max"), F.max("q").alias("q_max"),
+    )
+    return rounded(found, "p_mass", "q_mass", "p_max", "q_max")
 
 
 def _divergences(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpusgap.functions.fixed_values import EPSILON
 from corpusgap.operators.profile import GROUP, group_totals, term_probability
 from corpusgap.operators.ranking import exact_rank
-from corpusgap.runtime import pin, small_side
+from corpusgap.runtime import few_rows, pin, small_side
 
 PAIR = ["source", "source_split", "target", "target_split"]
 
@@ -40,8 +40,7 @@ def _with_groups(pairs: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
     )
 
 
-def _shared_sums(encoded: DataFrame, wanted: DataFrame, sums: list[Column],
-                 few: bool) -> DataFrame:
+def _shared_sums(encoded: DataFrame, wanted: DataFrame, sums: list[Column]) -> DataFrame:
     """Sums over the terms two groups share, for wanted group pairs (s_gid, t_gid).
 
     Every unordered pair is joined once, as `a` (lower number) and `b`. Sums are aliased
@@ -53,6 +52,7 @@ def _shared_sums(encoded: DataFrame, wanted: DataFrame, sums: list[Column],
         return encoded.select("term", F.col("gid").alias(f"{prefix}_gid"),
                               *[F.col(c).alias(f"{prefix}_{c}") for c in values])
 
+    few_pairs = few_rows(wanted)
     lower, upper = F.least("s_gid", "t_gid"), F.greatest("s_gid", "t_gid")
     listed = wanted.where(F.col("s_gid") != F.col("t_gid")).select(
         lower.alias("a_gid"), upper.alias("b_gid")
@@ -60,7 +60,7 @@ def _shared_sums(encoded: DataFrame, wanted: DataFrame, sums: list[Column],
     shared = (
         renamed("a").join(renamed("b"), "term")
         .where(F.col("a_gid") < F.col("b_gid"))
-        .join(small_side(listed, few), ["a_gid", "b_gid"])
+        .join(small_side(listed, few_pairs), ["a_gid", "b_gid"])
         .groupBy("a_gid", "b_gid").agg(*sums)
     )
     names = [c for c in shared.columns if c not in ("a_gid", "b_gid")]
@@ -75,7 +75,7 @@ def _shared_sums(encoded: DataFrame, wanted: DataFrame, sums: list[Column],
         return F.struct(*[F.col(new_name[n]).alias(n) for n in sorted(new_name)])
 
     both = shared.select(F.inline(F.array(oriented("a", "b"), oriented("b", "a"))))
-    return wanted.join(small_side(both, few), ["s_gid", "t_gid"], "left")
+    return wanted.join(small_side(both, few_pairs), ["s_gid", "t_gid"], "left")
 
 
 def overlap_share(terms: DataFrame, pairs: DataFrame, few: bool, name: str) -> DataFrame:
@@ -84,7 +84,7 @@ def overlap_share(terms: DataFrame, pairs: DataFrame, few: bool, name: str) -> D
     groups = _numbered(terms.groupBy(*GROUP).agg(F.count("*").alias("vocab_size")))
     encoded = terms.join(small_side(groups.select(*GROUP, "gid"), few), GROUP).select("gid", "term")
     wanted = pin(_with_groups(pairs, groups, few))
-    joined = _shared_sums(encoded, wanted, [F.count("*").alias("shared")], few)
+    joined = _shared_sums(encoded, wanted, [F.count("*").alias("shared")])
     return joined.select(*PAIR, _overlap(F.col("shared")).alias(name))
 
 
@@ -121,7 +121,7 @@ def distribution_distances(terms: DataFrame, pairs: DataFrame, few: bool) -> Dat
         F.sum(a * log_b).alias("a_cross"), F.sum(b * log_a).alias("b_cross"),
         F.sum(a * log_mean).alias("a_mean"), F.sum(b * log_mean).alias("b_mean"),
         F.sum(a * b / (a + b)).alias("both"),
-    ], few)
+    ])
     sums = ["shared", "both"] + [f"{s}_{x}" for s in "st"
                                  for x in ("mass", "log", "self", "cross", "mean")]
     joined = joined.select(
@@ -185,13 +185,14 @@ def global_distribution(terms: DataFrame, pairs: DataFrame, few: bool) -> DataFr
     The distances do not need it.
     """
     p = term_probability(terms, few).select(*GROUP, "term", "p")
-    pairs = pairs.select(*PAIR).distinct()
+    pairs = pin(pairs.select(*PAIR).distinct())
+    few_pairs = few_rows(pairs)
     source = p.select(F.col("domain").alias("source"), F.col("split").alias("source_split"),
                       "term", "p")
     target = p.select(F.col("domain").alias("target"), F.col("split").alias("target_split"),
                       "term", F.col("p").alias("q"))
-    left = source.join(small_side(pairs, few), ["source", "source_split"])
-    right = target.join(small_side(pairs, few), ["target", "target_split"])
+    left = source.join(small_side(pairs, few_pairs), ["source", "source_split"])
+    right = target.join(small_side(pairs, few_pairs), ["target", "target_split"])
     fill = F.lit(EPSILON)
     return left.join(right, [*PAIR, "term"], "full_outer").select(
         *PAIR, "term", F.coalesce("p", fill).alias("p"), F.coalesce("q", fill).alias("q")
@@ -218,8 +219,9 @@ def contextual_overlap(vectors: DataFrame, pairs: DataFrame, few: bool) -> DataF
 
     cuts = cuts_of("source").unionByName(cuts_of("target")).distinct()
     ranked = exact_rank(ids, GROUP, "doc_id")
+    few_pairs = few_rows(sized)
     ends = (
-        ranked.join(small_side(cuts, few), [*GROUP, "rank"])
+        ranked.join(small_side(cuts, few_pairs), [*GROUP, "rank"])
         .select(*GROUP, F.col("doc_id").alias("_end"), F.col("rank").alias("kept"))
         .groupBy(*GROUP)
         .agg(F.sort_array(F.collect_list(F.struct("_end", "kept"))).alias("_ends"))
@@ -227,7 +229,7 @@ def contextual_overlap(vectors: DataFrame, pairs: DataFrame, few: bool) -> DataF
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     segments = (
         vectors.select(*GROUP, "doc_id", "embedding", norm.alias("_norm"))
-        .join(small_side(ends, few), GROUP)
+        .join(small_side(ends, few_pairs), GROUP)
         .withColumn("_segment", F.size(F.filter("_ends", lambda e: e["_end"] < F.col("doc_id"))))
         .where(F.col("_segment") < F.size("_ends"))
         .withColumn("kept", F.col("_ends")[F.col("_segment")]["kept"])

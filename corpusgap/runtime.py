@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 # A corpus collection may have this many (domain, split) groups before per-group tables are
 # joined by shuffle and no longer by broadcast. One group row is well below 1 KB.
 MAX_BROADCAST_GROUPS = 10_000
+# The same for tables of corpus pairs, whose rows are below 500 bytes.
+MAX_BROADCAST_PAIRS = 100_000
 
 
 def few_groups(df: DataFrame, keys: list[str], limit: int = MAX_BROADCAST_GROUPS) -> bool:
@@ -21,6 +23,11 @@ def few_groups(df: DataFrame, keys: list[str], limit: int = MAX_BROADCAST_GROUPS
     return df.select(*keys).distinct().limit(limit + 1).count() <= limit
 
 
+def few_rows(df: DataFrame, limit: int = MAX_BROADCAST_PAIRS) -> bool:
+    """True when df has at most `limit` rows. Meant for pinned tables, where counting is cheap."""
+    return df.limit(limit + 1).count() <= limit
+
+
 def small_side(df: DataFrame, is_small: bool) -> DataFrame:
     """Broadcast a per-group table whose size was checked; leave the join to Spark otherwise."""
     return F.broadcast(df) if is_small else df
