@@ -14,7 +14,7 @@ from corpusgap.functions import stats
 from corpusgap.operators import features, ingest, models, pairs
 from corpusgap.plans import feature_table as plan
 from corpusgap.plans import regression, report
-from corpusgap.runtime import sized_for_fitting, use_all_cores
+from corpusgap.runtime import pin, sized_for_fitting, use_all_cores
 
 SOURCE_METRICS = [f"source_{m}" for m in fixed.METRICS]
 LINE_COLUMNS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
@@ -243,20 +243,19 @@ def predict_unseen(spark: SparkSession, sf: str) -> DataFrame:
 
 def selection_counts(spark: SparkSession, sf: str) -> DataFrame:
     """How often a source metric is among the 5 best over growing numbers of domains."""
-    table = derive.score_pairs(spark, sf).persist()
+    table = pin(derive.score_pairs(spark, sf))
     chosen = []
     for n in PAIR_COUNTS:
         part = features.first_domains(table, n)
         _, names = models.select_features(part, SOURCE_METRICS, "y_drop", k=5)
         chosen += [("all-raw", n, name) for name in names]
-    table.unpersist()
     return regression.selection_counts(spark.createDataFrame(
         chosen, "features string, num_datasets int, feature string"))
 
 
 def result_compare(spark: SparkSession, sf: str) -> DataFrame:
     """Two result tables side by side: the error of predicting no drop at all."""
-    table = derive.score_pairs(spark, sf)
+    table = pin(derive.score_pairs(spark, sf))
     rouge = {s: stats.weighted_mean([F.col(f"{s}_{m}") for m in fixed.BASELINE_METRICS])
              for s in ("source", "target")}
     labels = {"all-norm": F.col("y_drop"), "baseline-norm": rouge["source"] - rouge["target"]}

@@ -94,8 +94,8 @@ def training_corpus(corpus: DataFrame, vectors: DataFrame, parse: DataFrame, sco
         True: tuned_scores(scores, untuned_domains),
     }
     resolved = {
-        tuned: pairs.resolve_pairs(pairs.domain_pairs(pairs.domains_of(part)), tuned,
-                                   base_model, tuned_model)
+        tuned: pin(pairs.resolve_pairs(pairs.domain_pairs(pairs.domains_of(part)), tuned,
+                                       base_model, tuned_model))
         for tuned, part in parts.items()
     }
     distances = pin(all_distances(corpus, vectors, _both_ways(resolved[False], compat)))
