@@ -154,18 +154,19 @@ def _fitted(spark: SparkSession, sf: str, name: str) -> DataFrame:
     data = regression.prepare(_lines(spark, sf).select("row_key", "l_extendedprice", *LINE_COLUMNS),
                               LINE_COLUMNS, label="l_extendedprice")
     train = data.where(~F.col("is_test")).persist()
-    penalty = {
-        "linear": lambda: 0.0,
-        "ridge": lambda: models.ridge_penalty(train, LINE_COLUMNS, "label"),
-        "lasso": lambda: models.lasso_penalty(
-            models.moments(train, LINE_COLUMNS, "label", "lasso_fold")),
-    }[name]()
-    estimator = {"linear": lambda: models.linear(), "ridge": lambda: models.ridge(train, penalty),
-                 "lasso": lambda: models.lasso(penalty)}[name]()
-    fitted = estimator.fit(train)
+    if name == "lasso":
+        # from column products: exact, where an iterative fit stops within a tolerance
+        parts = models.moments(train, LINE_COLUMNS, "label", "lasso_fold")
+        penalty = models.lasso_penalty(parts)
+        intercept, beta = models.linear_solution(name, sum(parts.values()), penalty)
+    else:
+        ridge = name == "ridge"
+        penalty = models.ridge_penalty(train, LINE_COLUMNS, "label") if ridge else 0.0
+        fitted = (models.ridge(train, penalty) if ridge else models.linear()).fit(train)
+        intercept, beta = fitted.intercept, fitted.coefficients
     train.unpersist()
-    rows = [("intercept", penalty, float(fitted.intercept))]
-    rows += [(c, penalty, float(b)) for c, b in zip(LINE_COLUMNS, fitted.coefficients)]
+    rows = [("intercept", penalty, float(intercept))]
+    rows += [(c, penalty, float(b)) for c, b in zip(LINE_COLUMNS, beta)]
     found = spark.createDataFrame(rows, "feature string, penalty double, coefficient double")
     return rounded_all(found, 4)
 
