@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgap.llm import chat, licenses, mixing, toxicity
+from corpusgap.llm import chat, language, licenses, mixing, quality, toxicity
 from corpusgap.llm.common import table
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text counts and the verdict of all documents."""
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License sentences and licenses of all documents."""
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -22,6 +27,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs, ~language.held_out(F.col("doc_id")))
+    said = language.predict(docs, model)
+    return said.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of them."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("row_hash", "source")
@@ -39,7 +52,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns))
 
 
-QUERIES = {f.__name__: f for f in (op4_license_scan, op5_toxicity, op9_entropy_mix, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (
+    op3_quality, op4_license_scan, op5_toxicity, op8_language_id, op9_entropy_mix, op10_chat_format)}
 
 
 def _license_sql() -> str:

@@ -26,8 +26,10 @@ from corpusgap.llm.common import WORD
 
 DIMENSIONS = 1 << 20
 MAX_LABELLED = 20_000
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
+MIN_ROWS = 3  # labelled rows that a place must occur in to be a coordinate
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 8.0, 1.0
+TOXIC_WEIGHT = 3.0  # the rarer class weighs more, as a missed toxic text costs more
 
 _WORDS = re.compile(WORD)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -56,12 +58,16 @@ def fit(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, np.ndar
     bias = np.log(share / (1 - share))
     bias_n = 0.0
     rows = [np.unique(places(t)).astype(np.int32) for t in texts]
+    common = np.zeros(DIMENSIONS, np.int32)
+    for at in rows:
+        common[at] += 1
+    rows = [at[common[at] >= MIN_ROWS] for at in rows]
     for _ in range(EPOCHS):
         for at, label in zip(rows, labels):
             zi, ni = z[at], n[at]
             wi = np.where(np.abs(zi) <= L1, 0.0, (np.sign(zi) * L1 - zi) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
             p = 1 / (1 + np.exp(-np.clip(bias + wi.sum(), -35, 35)))
-            g = p - label
+            g = (p - label) * (TOXIC_WEIGHT if label else 1.0)
             sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA
             z[at] = zi + g - sigma * wi
             n[at] = ni + g * g
