@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgap.llm import chat, language, licenses, mixing, quality, toxicity
+from corpusgap.llm import chat, decontamination, language, licenses, mixing, quality, toxicity
 from corpusgap.llm.common import table
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of benchmark windows in all documents."""
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("row_hash")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text counts and the verdict of all documents."""
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -53,7 +59,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_quality, op4_license_scan, op5_toxicity, op8_language_id, op9_entropy_mix, op10_chat_format)}
+    op2_decontamination, op3_quality, op4_license_scan, op5_toxicity, op8_language_id, op9_entropy_mix, op10_chat_format)}
 
 
 def _license_sql() -> str:
@@ -109,4 +115,24 @@ select conv_id, count(*) as n_turns,
        cast(0 as bigint) as n_attachments, cast(0 as bigint) as expanded_tokens
 from told group by conv_id"""
 
-ORACLES = {"op4_license_scan": _license_sql(), "op10_chat_format": _CHAT_SQL}
+_WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+_DECONTAMINATION_SQL = f"""
+with d as (select doc_id, {_WORDS_SQL} as w from documents),
+b as (select item_id, {_WORDS_SQL} as w from benchmark),
+win as (
+  select distinct item_id, least(len(w), 10) as n, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') as phrase
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as i from b where len(w) > 0)),
+lens as (select distinct n from win),
+places as (
+  select doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') as phrase
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, lens where len(w) >= n)),
+m as (select doc_id, i, n, item_id from places join win using (n, phrase)),
+hit as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(i, i + n)) as place from m) group by doc_id),
+own as (select doc_id, count(*) as n_items, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids
+        from (select distinct doc_id, item_id from m) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from d left join hit using (doc_id) left join own using (doc_id)"""
+
+ORACLES = {"op2_decontamination": _DECONTAMINATION_SQL, "op4_license_scan": _license_sql(), "op10_chat_format": _CHAT_SQL}
