@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgap.llm import chat, decontamination, language, licenses, mixing, quality, toxicity
+from corpusgap.llm import chat, decontamination, language, licenses, mixing, quality, token_shards, toxicity
 from corpusgap.llm.common import table
 
 
@@ -33,6 +33,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token sequences in training order."""
+    return token_shards.write_order(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, learned outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents")
@@ -59,7 +64,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_decontamination, op3_quality, op4_license_scan, op5_toxicity, op8_language_id, op9_entropy_mix, op10_chat_format)}
+    op2_decontamination, op3_quality, op4_license_scan, op5_toxicity, op6_token_shards, op8_language_id, op9_entropy_mix, op10_chat_format)}
 
 
 def _license_sql() -> str:
