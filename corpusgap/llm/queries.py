@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgap.llm import chat, decontamination, language, licenses, mixing, quality, token_shards, toxicity
+from corpusgap.llm import chat, decontamination, jaccard_join, language, licenses, mixing, quality, token_shards, toxicity
 from corpusgap.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.write_order(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies of all documents: their class and their number of links."""
+    return jaccard_join.near_copies(table(spark, sf_dir, "documents")).drop("row_hash", "root")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, learned outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents")
@@ -64,7 +69,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_decontamination, op3_quality, op4_license_scan, op5_toxicity, op6_token_shards, op8_language_id, op9_entropy_mix, op10_chat_format)}
+    op2_decontamination, op3_quality, op4_license_scan, op5_toxicity, op6_token_shards, op7_jaccard_join, op8_language_id, op9_entropy_mix, op10_chat_format)}
 
 
 def _license_sql() -> str:
