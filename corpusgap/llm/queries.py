@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgap.llm import chat, decontamination, jaccard_join, language, licenses, mixing, quality, token_shards, toxicity
+from corpusgap.llm import chat, decontamination, jaccard_join, language, licenses, line_dedup, mixing, quality, token_shards, toxicity
 from corpusgap.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that go as exact or fuzzy copies."""
+    return line_dedup.per_document(line_dedup.decide(table(spark, sf_dir, "documents"))).drop("row_hash")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of benchmark windows in all documents."""
     found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -69,7 +74,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_decontamination, op3_quality, op4_license_scan, op5_toxicity, op6_token_shards, op7_jaccard_join, op8_language_id, op9_entropy_mix, op10_chat_format)}
+    op1_line_dedup, op2_decontamination, op3_quality, op4_license_scan, op5_toxicity, op6_token_shards, op7_jaccard_join, op8_language_id, op9_entropy_mix, op10_chat_format)}
 
 
 def _license_sql() -> str:
