@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgap.llm import mixing, toxicity
+from corpusgap.llm import decontamination, jaccard_join, mixing, token_shards, toxicity
 from corpusgap.llm.common import Scratch, table
 
 
@@ -19,12 +19,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, model)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.repeat(docs, mixing.mix(docs))
 
 
-STAGES = [("toxicity", drop_toxic), ("mixing", mix_sources)]
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of what is left, in training order."""
+    return token_shards.write_order(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard join", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token shards", write_tokens),
+]
 
 # Learned scores, hashes and token ids have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None

@@ -47,6 +47,12 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc (the whole row), and id_hash and row_hash (of doc_id and of text) beside it, whatever names docs has."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"),
+                       F.xxhash64(docs["doc_id"]).alias("id_hash"), F.xxhash64(docs["text"]).alias("row_hash"))
+
+
 def few(df: DataFrame, limit: int) -> bool:
     """Whether a written table has at most `limit` rows."""
     return df.limit(limit + 1).count() <= limit

@@ -24,10 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusgap.llm.common import WORD, Scratch, ascii_lower, checked_broadcast, few, words
+from corpusgap.llm.common import WORD, Scratch, ascii_lower, checked_broadcast, few, packed, words
 
 SIZE, LISTS = 10, 2
 MAX_TERMS = 500_000
+MAX_HIT_DOCS = 1_000_000  # rows of two numbers
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 KEY = ["doc_id", "row_hash"]
 
@@ -155,8 +156,5 @@ def keep_clean(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame
     """The rows of docs, all columns, in which no window of an item occurs."""
     scratch = Scratch(docs.sparkSession, "decontamination")
     phrases = scratch.put(windows_of(items, size).select("phrase").distinct())
-    bad = scratch.put(exact_matches(docs, phrases, scratch=scratch).select(
-        F.col("doc_id").alias("_doc"), F.col("row_hash").alias("_hash")).distinct())
-    keyed = docs.withColumn("_row", F.xxhash64("text"))
-    return keyed.join(checked_broadcast(bad, 2_000_000), keyed["doc_id"].eqNullSafe(bad["_doc"]) & (keyed["_row"] == bad["_hash"]),
-                      "left_anti").select(docs.columns)
+    bad = scratch.put(exact_matches(docs, phrases, scratch=scratch).select(F.xxhash64("doc_id").alias("id_hash"), "row_hash").distinct())
+    return packed(docs).join(checked_broadcast(bad, MAX_HIT_DOCS), ["id_hash", "row_hash"], "left_anti").select("doc.*")

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgap.llm.common import WORD, Scratch, checked_broadcast
+from corpusgap.llm.common import WORD, Scratch, checked_broadcast, packed
 from corpusgap.llm.components import components
 
 THRESHOLD, SIZE = 0.8, 5
@@ -262,19 +262,13 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     rows = found.groupBy("root", "doc_id", "row_hash").agg(F.count("*").alias("rows"))
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "row_hash")).alias("first"))
     marked = scratch.put(rows.join(first, "root").select(
-        F.col("doc_id").alias("_doc"), F.col("row_hash").alias("_hash"), "rows",
+        F.xxhash64("doc_id").alias("id_hash"), "row_hash", "rows",
         (F.struct("doc_id", "row_hash").eqNullSafe(F.col("first"))).alias("stays")))
-    keyed = docs.withColumn("_row", F.xxhash64("text"))
-
-    def matching(t: DataFrame) -> Column:
-        return keyed["doc_id"].eqNullSafe(t["_doc"]) & (keyed["_row"] == t["_hash"])
-
-    gone = marked.where(~F.col("stays") | (F.col("rows") > 1))
-    again = marked.where(F.col("stays") & (F.col("rows") > 1))
-    gone = scratch.put(gone.select("_doc", "_hash"))
-    again = scratch.put(again.select("_doc", "_hash"))
-    single = keyed.join(checked_broadcast(gone, MAX_BROADCAST), matching(gone), "left_anti")
+    keys, several = ["id_hash", "row_hash"], F.col("rows") > 1  # rows that are alike in id and text
+    gone = scratch.put(marked.where(~F.col("stays") | several).select(keys))
+    again = scratch.put(marked.where(F.col("stays") & several).select(keys))
+    single = packed(docs).join(checked_broadcast(gone, MAX_BROADCAST), keys, "left_anti").select("doc.*")
     if again.isEmpty():
-        return single.select(docs.columns)
-    one = keyed.join(checked_broadcast(again, MAX_BROADCAST), matching(again), "left_semi").dropDuplicates(["doc_id", "_row"])
-    return single.unionByName(one).select(docs.columns)
+        return single
+    one = packed(docs).join(checked_broadcast(again, MAX_BROADCAST), keys, "left_semi").dropDuplicates(keys)
+    return single.unionByName(one.select("doc.*"))

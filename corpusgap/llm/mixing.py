@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusgap.llm.common import NON_BLANK, Scratch
+from corpusgap.llm.common import NON_BLANK, Scratch, packed
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET, CAP = 1.5, 2.0
@@ -162,13 +162,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = C
 
 def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of docs, each as often as `mixed` takes it. Rows that are alike in doc_id and text share
-    their copies: each gets one after the other, so the sum stays."""
-    key = ["doc_id", "row_hash"]
-    total = mixed.groupBy(*key).agg(F.sum("copies").alias("copies"), F.count("*").alias("alike"))
-    total = total.select(F.col("doc_id").alias("_doc"), F.col("row_hash").alias("_hash"), "copies", "alike")
-    keyed = docs.withColumn("_row", F.xxhash64("text"))
-    first = Window.partitionBy("_doc", "_hash").orderBy("_row")
-    joined = keyed.join(total, keyed["doc_id"].eqNullSafe(total["_doc"]) & (keyed["_row"] == total["_hash"]))
-    numbered = joined.withColumn("_nth", F.row_number().over(first))
-    own = F.floor(F.col("copies") / F.col("alike")) + (F.col("_nth") <= F.col("copies") % F.col("alike")).cast("bigint")
-    return numbered.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), own.cast("int")))).select(docs.columns)
+    their copies: each gets its part, the first ones one more."""
+    total = mixed.groupBy(F.xxhash64("doc_id").alias("id_hash"), "row_hash").agg(
+        F.sum("copies").alias("copies"), F.count("*").alias("alike"))
+    same = Window.partitionBy("id_hash", "row_hash").orderBy("copies")  # the join's keys: no further shuffle
+    numbered = packed(docs).join(total, ["id_hash", "row_hash"]).withColumn("nth", F.row_number().over(same))
+    own = F.floor(F.col("copies") / F.col("alike")) + (F.col("nth") <= F.col("copies") % F.col("alike")).cast("bigint")
+    return numbered.select("doc", F.explode(F.array_repeat(F.lit(1), own.cast("int")))).select("doc.*")
