@@ -209,7 +209,7 @@ def _tree_fit(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """Hold-out metrics of a tree model on the pair feature table."""
     matrix = regression.design_matrix(regression.derive(_keyed(spark, sf), "all-norm"), "all-norm")
     columns = regression.split_columns(matrix)[0]
-    matrix = matrix.dropna()
+    matrix = regression.complete(matrix)
     data = sized_for_fitting(regression.prepare(matrix, columns), matrix.count()).persist()
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
     fitted = regression.tuned_estimator(name, train, columns).fit(train)

@@ -260,9 +260,17 @@ with recursive {PARSE}{DEPTHS}
 select {GROUP}, doc_id, sent_id, count(*)::int as tokens, true as is_tree,
        max(depth)::int as tree_depth from climb group by all""",
     "learning_difficulty": f"""
-with recursive {PARSE}{DEPTHS}, {DIFFICULTY}
+with recursive {PARSE}{DEPTHS}, {DIFFICULTY},
+counts as (
+  select domain, split, count(*) as sentences,
+         cast(sum(case when coalesce(reached, 0) < tokens then 1 else 0 end) as bigint) as broken_sentences
+  from (select domain, split, doc_id, sent_id, count(*) as tokens from parse group by all)
+  left join (select domain, split, doc_id, sent_id, count(*) as reached from climb group by all)
+    using (domain, split, doc_id, sent_id)
+  group by domain, split)
 select {GROUP}, round(len, 6) as avg_dependency_length, depth::int as max_tree_depth,
-       round(difficult, 6) as learning_difficult from difficulty""",
+       sentences, broken_sentences,
+       round(difficult, 6) as learning_difficult from difficulty join counts using (domain, split)""",
     "tfidf_weights": f"""
 with {TFIDF} select {GROUP}, doc_id, term, tf, round(weight, 6) as weight from weights""",
     "tfidf_top_terms": f"""

@@ -167,7 +167,7 @@ def dependency_length(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tree_depth(spark: SparkSession, sf: str) -> DataFrame:
-    return syntax.sentence_depths(derive.parse_tokens(spark, sf))
+    return syntax.sentence_depths(derive.parse_tokens(spark, sf)).drop("length")
 
 
 def learning_difficulty(spark: SparkSession, sf: str) -> DataFrame:

@@ -118,12 +118,13 @@ def distribution_distances(terms: DataFrame, pairs: DataFrame, few: bool) -> Dat
         F.sum(a).alias("a_mass"), F.sum(b).alias("b_mass"),
         F.sum(log_a).alias("a_log"), F.sum(log_b).alias("b_log"),
         F.sum(a * log_a).alias("a_self"), F.sum(b * log_b).alias("b_self"),
-        F.sum(a * log_b).alias("a_cross"), F.sum(b * log_a).alias("b_cross"),
-        F.sum(a * log_mean).alias("a_mean"), F.sum(b * log_mean).alias("b_mean"),
+        # differences per term: sums of their parts would cancel for near-equal corpora
+        F.sum(a * (log_a - log_b)).alias("a_ratio"), F.sum(b * (log_b - log_a)).alias("b_ratio"),
+        F.sum(a * (log_a - log_mean)).alias("a_gap"), F.sum(b * (log_b - log_mean)).alias("b_gap"),
         F.sum(a * b / (a + b)).alias("both"),
     ])
     sums = ["shared", "both"] + [f"{s}_{x}" for s in "st"
-                                 for x in ("mass", "log", "self", "cross", "mean")]
+                                 for x in ("mass", "log", "self", "ratio", "gap")]
     joined = joined.select(
         *[c for c in joined.columns if c not in sums],
         *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in sums],
@@ -145,7 +146,7 @@ def _kl() -> Column:
     eps, log_eps = F.lit(EPSILON), F.lit(math.log(EPSILON))
     only_s = F.col("s_vocab_size") - F.col("shared")
     only_t = F.col("t_vocab_size") - F.col("shared")
-    shared = F.col("s_self") - F.col("s_cross") - F.col("s_mass") + F.col("t_mass")
+    shared = F.col("s_ratio") - F.col("s_mass") + F.col("t_mass")
     s_mass, t_mass = 1.0 - F.col("s_mass"), 1.0 - F.col("t_mass")
     s_part = F.col("s_plogp") - F.col("s_self") - log_eps * s_mass - s_mass + eps * only_s
     t_part = eps * log_eps * only_t - eps * (F.col("t_logp") - F.col("t_log")) - eps * only_t + t_mass
@@ -161,8 +162,8 @@ def _js() -> Column:
     delta = eps * (only_t - only_s) / t_scale
     both = F.col("both")
     shared = (
-        (F.col("s_self") - F.col("s_mean") - delta * both) / s_scale
-        + (F.col("t_self") - F.col("t_mean") + F.col("t_mass") * delta
+        (F.col("s_gap") - delta * both) / s_scale
+        + (F.col("t_gap") + F.col("t_mass") * delta
            - delta * (F.col("t_mass") - both)) / t_scale
     )
 

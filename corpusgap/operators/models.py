@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,18 +42,26 @@ def standardize(df: DataFrame, columns: list[str], test: str = "is_test",
 def f_scores(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """(position, feature, f_score): F statistic of a regression of the label on each column.
 
-    All correlations come from one pass. A perfectly correlated column has a null score.
+    All correlations come from one pass over the rows in which column and label are known. A
+    perfectly correlated column has the largest score there is, a constant one 0.
     """
-    sums = [F.corr(F.col(c), F.col(label)).alias(f"r{i}") for i, c in enumerate(columns)]
-    n = F.col("n")
+    y = F.col(label).cast("double")
+    sums = []
+    for i, c in enumerate(columns):
+        x = F.col(c).cast("double")
+        known = x.isNotNull() & y.isNotNull()
+        sums += [F.covar_pop(x, y).alias(f"c{i}"), F.stddev_pop(F.when(known, x)).alias(f"x{i}"),
+                 F.stddev_pop(F.when(known, y)).alias(f"y{i}"), F.count_if(known).alias(f"n{i}")]
 
     def score(i: int) -> Column:
-        square = F.col(f"r{i}") * F.col(f"r{i}")
-        return F.when(square < 1, square / (1 - square) * (n - 2))
+        spread = F.col(f"x{i}") * F.col(f"y{i}")
+        r = F.when(spread > 0, F.col(f"c{i}") / spread).otherwise(0.0)
+        return F.when(r * r < 1 - 1e-15, r * r / (1 - r * r) * F.greatest(F.col(f"n{i}") - 2, F.lit(0))).otherwise(
+            F.lit(sys.float_info.max))
 
     rows = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("feature"),
                      score(i).alias("f_score")) for i, c in enumerate(columns)]
-    return df.agg(F.count("*").alias("n"), *sums).select(F.inline(F.array(*rows)))
+    return df.agg(*sums).select(F.inline(F.array(*rows)))
 
 
 def select_features(df: DataFrame, columns: list[str], label: str,
@@ -62,7 +71,7 @@ def select_features(df: DataFrame, columns: list[str], label: str,
     k = int(math.sqrt(df.count())) - 2 if k is None else k
     if k >= len(columns) - 1:
         return columns, []
-    best = f_scores(df, columns, label).orderBy(F.col("f_score").desc_nulls_last(), "position")
+    best = f_scores(df, columns, label).orderBy(F.col("f_score").desc(), "position")
     chosen = {row["feature"] for row in best.limit(max(k, 0)).collect()}
     kept = [c for c in columns if c in chosen]
     return kept, kept
@@ -182,7 +191,7 @@ def lasso_coefficients(gram: np.ndarray, cross: np.ndarray, n: float, penalty: f
             exact = _lasso_on(np.flatnonzero(beta), np.sign(beta), gram, cross, limit)
             if exact is not None:
                 return exact
-    return beta
+    raise RuntimeError(f"the lasso did not converge in {rounds} rounds at penalty {penalty}")
 
 
 def _lasso_on(active: np.ndarray, signs: np.ndarray, gram: np.ndarray, cross: np.ndarray,

@@ -80,20 +80,23 @@ def metrics_of(scores: DataFrame) -> list[str]:
 
 def one_score_per_key(scores: DataFrame, order: str | None = None) -> DataFrame:
     """The first score row of every (ds, split, model) by `order`, or by all metrics."""
-    metrics = metrics_of(scores)
+    metrics = [m for m in metrics_of(scores) if m != order]
     first = F.min_by(F.struct(*metrics), F.struct(order) if order else F.struct(*metrics))
     picked = scores.groupBy(*SCORE_KEYS).agg(first.alias("_first"))
     return picked.select(*SCORE_KEYS, *[F.col(f"_first.{m}").alias(m) for m in metrics])
 
 
-def attach_scores(resolved: DataFrame, scores: DataFrame, fill: str | None = None) -> DataFrame:
+def attach_scores(resolved: DataFrame, scores: DataFrame, fill: str | None = None,
+                  order: str | None = None) -> DataFrame:
     """Scores of both sides as source_* and target_*, with flags for missing rows.
 
+    Of several score rows of one key the first by `order` counts, a column that is no metric.
+
     A missing score stays null and is flagged. With fill="hash" it becomes a repeatable
     pseudo-random number in [0, 1), derived from side, key and metric.
     """
-    metrics = metrics_of(scores)
-    unique = one_score_per_key(scores)
+    metrics = [m for m in metrics_of(scores) if m != order]
+    unique = one_score_per_key(scores, order)
     result = resolved
     for side in ("source", "target"):
         keys = {side: "ds", f"{side}_score_split": "split", f"{side}_model": "model"}

@@ -6,10 +6,12 @@ ranged parts of a group and only then on what is left of it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgap.runtime import few_groups, pin, small_side
+from corpusgap.runtime import few_groups, few_rows, pin, small_side
 
 PARTS = 32
 
@@ -36,27 +38,38 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], salt: str, n: int
 
 def first_n(df: DataFrame, keys: list[str], order: str, n: int,
             only: Column | None = None) -> DataFrame:
-    """Keep the rows among the first n of their group by the unique column `order`.
+    """Keep exactly the n first rows of every group by the column `order`, nulls last.
 
     Only keys and order values are ranked. They give one cut-off per group, and the rows
-    themselves are filtered where they are read, so that texts are never shuffled. Groups for
-    which `only` is false stay whole.
+    themselves are filtered where they are read, so that texts are never shuffled. Only where
+    several rows share the cut-off value and not all of them fit, these are ranked by a hash of
+    their columns. Groups for which `only` is false stay whole.
     """
-    ids = df.where(F.col(order).isNotNull())
-    if only is not None:
-        ids = ids.where(only)
-    ids = ids.select(*keys, order)
-    cut = (
-        top_n(ids, keys, [F.col(order).asc()], order, n)
-        .groupBy(*keys)
-        .agg(F.max(order).alias("_last"))
-    )
-    cut = small_side(cut, few_groups(df, keys))
-    joined = df.join(cut, keys, "left")
-    keep = F.col(order) <= F.col("_last")
-    if only is not None:
-        keep = ~only | keep
-    return joined.where(keep).drop("_last")
+    ids = df if only is None else df.where(only)
+    values = ids.groupBy(*keys, order).agg(F.count("*").alias("_rows"))
+    by_value = F.col(order).asc_nulls_last()
+    first = top_n(values, keys, [by_value], order, n, rank="_at")
+    so_far = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    first = first.withColumn("_before", F.coalesce(F.sum("_rows").over(so_far), F.lit(0))).where(F.col("_before") < n)
+    last = F.max_by(F.struct(order, "_before", "_rows"), "_at")
+    cut = pin(first.groupBy(*keys).agg(last.alias("_cut")).select(
+        *keys, F.col(f"_cut.{order}").alias("_last"), (n - F.col("_cut._before")).alias("_room"),
+        F.col("_cut._rows").alias("_ties"), F.lit(True).alias("_known")))
+    same = [df[k].eqNullSafe(cut[k]) for k in keys]
+    joined = df.join(small_side(cut, few_rows(cut)), reduce(Column.__and__, same), "left").select(
+        *[df[c] for c in df.columns], "_last", "_room", "_ties", "_known")
+    at = F.col(order).eqNullSafe(F.col("_last"))
+    earlier = F.coalesce(F.col(order) < F.col("_last"), F.col("_last").isNull() & F.col(order).isNotNull())
+    inside = F.col("_known").isNotNull() & (earlier | (at & (F.col("_ties") <= F.col("_room"))))
+    keep = inside if only is None else F.coalesce(~only, F.lit(True)) | inside
+    kept = joined.where(keep)
+    if not cut.where("_ties > _room").isEmpty():
+        edge = joined.where(at & (F.col("_ties") > F.col("_room")))
+        if only is not None:
+            edge = edge.where(only)
+        tied = Window.partitionBy(*keys).orderBy(F.xxhash64(*df.columns))
+        kept = kept.unionByName(edge.withColumn("_nth", F.row_number().over(tied)).where("_nth <= _room").drop("_nth"))
+    return kept.drop("_last", "_room", "_ties", "_known")
 
 
 def exact_rank(ids: DataFrame, keys: list[str], order: str, rank: str = "rank",

@@ -45,14 +45,16 @@ def _depths(heads: Column) -> Column:
 
 
 def sentence_depths(parse: DataFrame) -> DataFrame:
-    """(domain, split, doc_id, sent_id, tokens, is_tree, tree_depth), one row per sentence.
+    """(domain, split, doc_id, sent_id, tokens, length, is_tree, tree_depth), one row per sentence;
+    length is the sum of the distances of its tokens to their heads.
 
     A lone token has depth 1. One sentence is one group, and never longer than the text it
     came from. Heads outside the sentence or heads in a circle make is_tree false and the
     depth null.
     """
     sentences = parse.groupBy(*GROUP, "doc_id", "sent_id").agg(
-        F.sort_array(F.collect_list(F.struct("i", "head"))).alias("_tokens")
+        F.sort_array(F.collect_list(F.struct("i", "head"))).alias("_tokens"),
+        F.sum(F.abs(F.col("i") - F.col("head"))).alias("length"),
     )
     first = F.col("_tokens")[0]["i"]
     heads = F.transform("_tokens", lambda t: (t["head"] - F.col("_first")).cast("int"))
@@ -66,7 +68,7 @@ def sentence_depths(parse: DataFrame) -> DataFrame:
         .withColumn("is_tree", F.coalesce(
             F.forall(F.col("_end")["up"], lambda u: F.get(F.col("_heads"), u) == u), F.lit(False)))
         .select(
-            *GROUP, "doc_id", "sent_id", size.alias("tokens"), "is_tree",
+            *GROUP, "doc_id", "sent_id", size.alias("tokens"), "length", "is_tree",
             F.when(F.col("is_tree"), F.array_max(F.col("_end")["far"]) + 1).alias("tree_depth"),
         )
     )
@@ -80,8 +82,15 @@ def tree_depth(parse: DataFrame) -> DataFrame:
 def learning_difficulty(parse: DataFrame,
                         length_weight: float = fixed.DEPENDENCY_LENGTH_WEIGHT,
                         depth_weight: float = fixed.TREE_DEPTH_WEIGHT) -> DataFrame:
-    """(domain, split, avg_dependency_length, max_tree_depth, learning_difficult)."""
+    """(domain, split, avg_dependency_length, max_tree_depth, sentences, broken_sentences,
+    learning_difficult), in one pass over the parse.
+
+    Broken sentences, whose heads make no tree, count in the mean length and have no depth.
+    """
     score = length_weight * F.col("avg_dependency_length") + depth_weight * F.col("max_tree_depth")
-    return dependency_length(parse).join(tree_depth(parse), GROUP).withColumn(
-        fixed.DIFFICULTY, score
-    )
+    return sentence_depths(parse).groupBy(*GROUP).agg(
+        (F.sum("length") / F.sum("tokens")).alias("avg_dependency_length"),
+        F.max("tree_depth").alias("max_tree_depth"),
+        F.count("*").alias("sentences"),
+        F.count_if(~F.col("is_tree")).alias("broken_sentences"),
+    ).withColumn(fixed.DIFFICULTY, score)

@@ -10,12 +10,13 @@ from corpusgap.operators import distance, pairs, profile, syntax, tfidf
 from corpusgap.runtime import pin
 
 
-def all_distances(corpus: DataFrame, vectors: DataFrame, resolved: DataFrame) -> DataFrame:
-    """The seven distance columns for the text splits of all pairs."""
-    few = profile.groups_fit(corpus)
-    return distance.pair_distances(
-        pin(profile.term_counts(corpus)), pin(tfidf.top_terms(corpus, few)), vectors, resolved, few
-    )
+def all_distances(corpus: DataFrame, vectors: DataFrame, resolved: DataFrame,
+                  top_terms: int = fixed.TOP_TERMS) -> DataFrame:
+    """The seven distance columns for the text splits of all pairs; tf-idf overlap is that of the
+    `top_terms` highest terms of each side."""
+    terms = pin(profile.term_counts(corpus))
+    few = profile.groups_fit(terms)
+    return distance.pair_distances(terms, pin(tfidf.top_terms(corpus, few, top_terms)), vectors, resolved, few)
 
 
 def join_features(resolved: DataFrame, distances: DataFrame, difficulty: DataFrame,
@@ -54,12 +55,12 @@ def join_features(resolved: DataFrame, distances: DataFrame, difficulty: DataFra
 def pair_features(corpus: DataFrame, vectors: DataFrame, parse: DataFrame, scores: DataFrame,
                   tuned: bool = False, base_model: str = "base", tuned_model: str = "tuned",
                   max_domains: int | None = None, fill: str | None = None,
-                  compat: bool = False) -> DataFrame:
+                  compat: bool = False, top_terms: int = fixed.TOP_TERMS) -> DataFrame:
     """Feature rows of all pairs of the domains in the score table."""
     resolved = pairs.resolve_pairs(
         pairs.domain_pairs(pairs.domains_of(scores, max_domains)), tuned, base_model, tuned_model
     )
-    return join_features(resolved, all_distances(corpus, vectors, _both_ways(resolved, compat)),
+    return join_features(resolved, all_distances(corpus, vectors, _both_ways(resolved, compat), top_terms),
                          syntax.learning_difficulty(parse), scores, fill, compat)
 
 
@@ -84,21 +85,25 @@ def tuned_scores(scores: DataFrame, without: tuple[str, ...] = ("aclsum",)) -> D
 def training_corpus(corpus: DataFrame, vectors: DataFrame, parse: DataFrame, scores: DataFrame,
                     base_model: str = "base", tuned_model: str = "tuned",
                     untuned_domains: tuple[str, ...] = ("aclsum",), fill: str | None = None,
-                    compat: bool = False) -> DataFrame:
-    """Zero-shot and fine-tuned feature rows in one table.
+                    compat: bool = False, top_terms: int = fixed.TOP_TERMS,
+                    max_domains: int | None = None) -> DataFrame:
+    """Zero-shot and fine-tuned feature rows in one table, of the first `max_domains` by name.
 
-    Distances and difficulty do not depend on fine-tuning and are computed once for both.
+    Distances and difficulty do not depend on fine-tuning and are computed once, for the pairs of
+    either kind.
     """
     parts = {
         False: zero_shot_scores(scores, base_model),
         True: tuned_scores(scores, untuned_domains),
     }
     resolved = {
-        tuned: pin(pairs.resolve_pairs(pairs.domain_pairs(pairs.domains_of(part)), tuned,
+        tuned: pin(pairs.resolve_pairs(pairs.domain_pairs(pairs.domains_of(part, max_domains)), tuned,
                                        base_model, tuned_model))
         for tuned, part in parts.items()
     }
-    distances = pin(all_distances(corpus, vectors, _both_ways(resolved[False], compat)))
+    texts = [resolved[tuned].select(*distance.PAIR) for tuned in (False, True)]
+    wanted = pin(texts[0].unionByName(texts[1]).distinct())
+    distances = pin(all_distances(corpus, vectors, _both_ways(wanted, compat), top_terms))
     difficulty = pin(syntax.learning_difficulty(parse))
     tables = [
         join_features(resolved[tuned], distances, difficulty, parts[tuned], fill, compat)

@@ -168,36 +168,52 @@ def other_scores(data: DataFrame, columns: list[str], name: str,
     return _named(holdout, f"{name}-") | _named(folded.first(), f"{name}-k-fold-")
 
 
+def complete(matrix: DataFrame, missing: str = "fail") -> DataFrame:
+    """The rows without nulls. With missing="fail" a null raises, and says where nulls are; with
+    "drop" such rows go, which the caller has to report."""
+    if missing not in ("fail", "drop"):
+        raise ValueError(f"missing is 'fail' or 'drop', not {missing!r}")
+    if missing == "fail":
+        counts = matrix.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in matrix.columns]).first().asDict()
+        if found := {c: n for c, n in counts.items() if n}:
+            raise ValueError(f"rows with a null, by column: {found}; fill them, or set missing='drop'")
+    return matrix.dropna()
+
+
 def run_regression(table: DataFrame, mode: str, feature_selection: bool,
-                   model_names: tuple[str, ...] = MODELS,
-                   compat: bool = False) -> tuple[DataFrame, list[str]]:
-    """Hold-out and k-fold metrics of all models for one mode, as one row, and the features
-    that were selected. `table` has row keys."""
+                   model_names: tuple[str, ...] = MODELS, compat: bool = False,
+                   missing: str = "fail") -> tuple[DataFrame, list[str]]:
+    """Hold-out and k-fold metrics of all models for one mode, as one row with the number of rows
+    used and dropped, and the features that were selected. `table` has row keys."""
     matrix = design_matrix(derive(table, mode, compat), mode)
     numeric, categories = split_columns(matrix)
-    matrix = index_categories(matrix, categories).dropna().persist()
+    whole = index_categories(matrix, categories).persist()
+    matrix = complete(whole, missing).persist()
+    used, given = matrix.count(), whole.count()
     columns, selected = [*numeric, *categories], []
     if feature_selection:
         columns, selected = models.select_features(matrix, columns, LABEL)
-    data = sized_for_fitting(prepare(matrix, columns, compat=compat), matrix.count()).persist()
+    data = sized_for_fitting(prepare(matrix, columns, compat=compat), used).persist()
     scores = linear_scores(data, columns, [n for n in model_names if n in models.LINEAR], compat)
     others = [n for n in model_names if n not in models.LINEAR]
     for found in at_once(data.sparkSession, lambda n: other_scores(data, columns, n, compat), others):
         scores |= found
     data.unpersist()
     matrix.unpersist()
+    whole.unpersist()
     schema = T.StructType(
-        [T.StructField("features", T.StringType()), T.StructField("feature_selection", T.BooleanType())]
+        [T.StructField("features", T.StringType()), T.StructField("feature_selection", T.BooleanType()),
+         T.StructField("rows_used", T.LongType()), T.StructField("rows_dropped", T.LongType())]
         + [T.StructField(n, T.DoubleType()) for n in scores]
     )
-    row = [(mode, feature_selection, *scores.values())]
+    row = [(mode, feature_selection, used, given - used, *scores.values())]
     return table.sparkSession.createDataFrame(row, schema), selected
 
 
 def sweep(table: DataFrame, counts: tuple[int, ...] = fixed.SWEEP_DOMAIN_COUNTS,
           modes: tuple[str, ...] = ("baseline-norm", "all-norm"),
-          model_names: tuple[str, ...] = MODELS,
-          compat: bool = False) -> tuple[DataFrame, DataFrame]:
+          model_names: tuple[str, ...] = MODELS, compat: bool = False,
+          missing: str = "fail") -> tuple[DataFrame, DataFrame]:
     """(result rows, how often each feature was selected per mode) over selection off and on,
     the first n domains, and modes."""
     runs = [(selection, n, mode) for selection in (False, True) for n in counts for mode in modes]
@@ -205,7 +221,7 @@ def sweep(table: DataFrame, counts: tuple[int, ...] = fixed.SWEEP_DOMAIN_COUNTS,
     def run(setting: tuple[bool, int, str]) -> tuple[DataFrame, list[tuple[str, int, str]]]:
         selection, n, mode = setting
         part = features.first_domains(table, n)
-        row, selected = run_regression(part, mode, selection, model_names, compat)
+        row, selected = run_regression(part, mode, selection, model_names, compat, missing)
         return row.withColumn("num_datasets", F.lit(n)), [(mode, n, f) for f in selected]
 
     done = at_once(table.sparkSession, run, runs, threads=4)
@@ -224,8 +240,13 @@ def predict(train: DataFrame, unseen: DataFrame, columns: list[str], name: str =
             label: str = LABEL, key: str = ROW_KEY) -> DataFrame:
     """Expected drop of pairs without target scores, from a model fitted on known pairs.
 
-    Both parts are scaled by the statistics of the known pairs.
+    Both parts are scaled by the statistics of the known pairs. A pair with a null feature has no
+    prediction; `missing_features` names what it lacks. Known pairs must be complete.
     """
+    train = complete(train.select(key, label, *columns))
+    lacks = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in columns])
+    gaps = unseen.where(lacks != "").select(key, F.lit(None).cast("double").alias("prediction"), lacks.alias("missing_features"))
+    unseen = unseen.where(lacks == "")
     known = train.select(key, label, *columns).withColumn("_unseen", F.lit(False))
     new = unseen.select(key, F.lit(None).cast("double").alias(label), *columns).withColumn(
         "_unseen", F.lit(True))
@@ -233,4 +254,5 @@ def predict(train: DataFrame, unseen: DataFrame, columns: list[str], name: str =
     marked = marked.withColumn("lasso_fold", ingest.stats.bucket(F.col(key), fixed.LASSO_FOLDS))
     known = models.assembled(marked.where(~F.col("_unseen")), columns, label)
     new = models.assembled(marked.where(F.col("_unseen")), columns, label)
-    return tuned_estimator(name, known, columns).fit(known).transform(new).select(key, "prediction")
+    return tuned_estimator(name, known, columns).fit(known).transform(new).select(
+        key, "prediction", F.lit("").alias("missing_features")).unionByName(gaps)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
@@ -53,19 +52,16 @@ def at_once(session: SparkSession, run: Callable, items: Iterable, threads: int
         return list(pool.map(inheritable_thread_target(session)(run), items))
 
 
-_local_roots: list[str] = []
-
-
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir. Local runs may go without."""
+    """The folder that all executors see: spark.checkpoint.dir, or one below the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        if not _local_roots:
-            _local_roots.append(tempfile.mkdtemp(prefix="corpusgap-"))
-        root = _local_roots[0]
-    return root.rstrip("/")
+    return root.rstrip("/") if root else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_pinned"
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it wants it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 from corpusgap.operators import ingest
 from corpusgap.sources.specs import CORPORA, CorpusSpec, corpus_spec
 
+MAX_FILES = 1_000_000
+
 CANONICAL = ["domain", "split", "doc_id", "text", "summary"]
 
 
@@ -21,7 +24,8 @@ def scan(spark: SparkSession, spec: CorpusSpec, root: str) -> DataFrame:
 
 def scan_csv(spark: SparkSession, data_files, schema: T.StructType | str | None = None) -> DataFrame:
     """CSV rows with a header. Files are one path or a list (split 'train'), or a map from split
-    to path or list. Without a schema every column is a string."""
+    to path or list. Without a schema every column is a string. Quoted line breaks are allowed, so
+    a file is one task: write corpora as several files."""
     if not isinstance(data_files, dict):
         data_files = {"train": data_files}
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
@@ -35,11 +39,22 @@ def scan_csv(spark: SparkSession, data_files, schema: T.StructType | str | None
 
 
 def with_doc_id(df: DataFrame) -> DataFrame:
-    """Give rows without doc_id one from their content, so that caps do not depend on the order
-    in which files are read. Rows equal in all columns share an id."""
+    """Give the rows of a scan without doc_id one: the number of their file in the order of paths,
+    then the number of the row in its file. Ids are unique, the same on every run, and in file
+    order. Where the format's scan does not number its rows (CSV), ids count the rows of the scan's
+    tasks: unique, and the same as long as the files and the split size are."""
     if "doc_id" in df.columns:
         return df
-    return df.withColumn("doc_id", F.xxhash64(*[F.to_json(F.struct(c)) for c in df.columns]))
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return df.withColumn("doc_id", F.monotonically_increasing_id())
+    paths = sorted(r["_file"] for r in placed.select("_file").distinct().limit(MAX_FILES + 1).collect())
+    if len(paths) > MAX_FILES:
+        raise ValueError(f"more than {MAX_FILES} files")
+    files = df.sparkSession.createDataFrame(list(enumerate(paths)), "_number bigint, _file string")
+    numbered = placed.join(F.broadcast(files), "_file")  # MAX_FILES rows at most
+    return numbered.withColumn("doc_id", F.shiftleft("_number", 40) + F.col("_row")).drop("_file", "_row", "_number")
 
 
 def canonical(raw: DataFrame, spec: CorpusSpec, preview: bool = False, preview_size: int = 4,

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from corpusgap.functions import fixed_values as fixed
+from corpusgap.runtime import file_system
 
 
 def score_schema(metrics: list[str] = fixed.METRICS) -> T.StructType:
@@ -54,11 +55,18 @@ def run_folder(root: str, run_id: str, name: str) -> str:
 
 
 def read_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
-    """The stored table, or the computed one after it was stored."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-    write_parquet(compute(), path)
+    """The stored table, or the computed one after it was stored.
+
+    Only a finished table counts as stored: it is written beside `path` and renamed, and a folder
+    without the writer's success mark is taken for the remains of an interrupted write.
+    """
+    fs, where = file_system(spark, path)
+    done = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    if not fs.exists(done):
+        beside = path.rstrip("/") + f".{uuid.uuid4().hex}"
+        write_parquet(compute(), beside)
+        if fs.exists(where):
+            fs.delete(where, True)
+        if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), where):
+            raise OSError(f"could not rename {beside} to {path}")
     return spark.read.parquet(path)
