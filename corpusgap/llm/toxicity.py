@@ -114,7 +114,8 @@ def _scorer(docs: DataFrame, model):
             for i, text in enumerate(texts):
                 p = places(text)
                 total[i] = w[np.unique(p[live[p]])].sum()
-            yield pd.Series(1 / (1 + np.exp(-np.clip(bias + total, -700, 700))))
+            with np.errstate(over="ignore"):
+                yield pd.Series(1 / (1 + np.exp(-(bias + total))))
 
     return F.pandas_udf(run, "double")
 
