@@ -8,8 +8,9 @@ on further sampled tokens, up to `depth` times. Two sets of Jaccard similarity `
 a run with probability 0.63 or more, and runs are repeated until the chance of a miss is below 1 - recall.
 
 Buckets are searched by brute force in two passes. First every member meets the bucket's leader (the class
-with most copies), then all pairs meet whose members are still in different components. Both are filtered by
-256-bit sketches and checked exactly on the sets. So a large group of near copies is joined by its leader
+with most copies), then all pairs meet whose members are still in different components; both are filtered by
+256-bit sketches. Members of buckets that stay over `limit` (texts around one shared passage) meet by their
+rarest tokens instead, which misses no pair. All pairs are checked exactly on the sets. So a large group of near copies is joined by its leader
 and never written as pairs. Links are then counted: all links lie inside components, whose members meet in
 blocks of BLOCK; only counts leave a block. No link is lost but by the recall of the runs.
 
@@ -30,6 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusgap.llm.common import WORD, Scratch, checked_broadcast, packed
 from corpusgap.llm.components import components
@@ -75,7 +77,7 @@ def sampled(tokens: np.ndarray, node: int, threshold: float) -> np.ndarray:
     """Buckets below a node of the tree (a run's root, or a bucket) that the set goes to."""
     u = _mixed(tokens.astype(np.uint64) * _ODD[1] + np.uint64(node % 2**64))
     chosen = u[(u >> np.uint64(32)) < np.uint64(min(2**32, int(2**32 / (threshold * len(tokens)))))]
-    return _mixed(chosen + np.uint64(node % 2**64) * _ODD[2]).view(np.int64)
+    return _mixed(chosen + np.uint64(node * int(_ODD[2]) % 2**64)).view(np.int64)
 
 
 def runs_for(recall: float, threshold: float) -> int:
@@ -134,34 +136,64 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: float, scratch: Scratc
     left = used.select(F.col("key").alias("a"), F.col("tokens").alias("ta"))
     right = used.select(F.col("key").alias("b"), F.col("tokens").alias("tb"))
     similarity = F.pandas_udf(_jaccard, "double")
-    links = pairs.join(left, "a").join(right, "b").where(similarity("ta", "tb") >= threshold).select("a", "b")
-    return scratch.put(links)
+    links = scratch.put(pairs.join(left, "a").join(right, "b").where(similarity("ta", "tb") >= threshold).select("a", "b"))
+    scratch.drop(pairs, keys, used)
+    return links
 
 
 def _leaves(classes: DataFrame, sets: DataFrame, threshold: float, limit: int, depth: int, scratch: Scratch) -> DataFrame:
-    """bucket, x (key, n, sketch, copies) of all buckets with several members, split where large."""
-    rows = scratch.put(classes.select(F.explode("buckets").alias("bucket"), F.struct("copies", "key", "n", "sketch").alias("x")))
-    leaves = None
+    """bucket, x (copies, key, n, sketch), members of all buckets with several members, split where large; written."""
+    rows = scratch.put(classes.select(F.explode("buckets").alias("bucket"), "key"))
+    leaves, parts = None, []
     for level in range(1, depth + 1):
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-        sized = rows.join(sizes, "bucket")
+        sized = scratch.put(rows.join(sizes, "bucket"))
+        scratch.drop(rows)
+        parts.append(sized)
         small = sized if level == depth else sized.where(F.col("members") <= limit)
-        small = scratch.put(small.select("bucket", "x"))
         leaves = small if leaves is None else leaves.unionByName(small)
-        if level == depth:
+        large = sized.where(F.col("members") > limit).select("bucket", "key")
+        if level == depth or large.isEmpty():
             break
-        large = scratch.put(sized.where(F.col("members") > limit).select("bucket", "x", F.col("x.key").alias("key")))
         keys = scratch.put(large.select("key").distinct())
-        if keys.isEmpty():
-            break
+        parts.append(keys)
         tokens = sets.select("key", "tokens").join(checked_broadcast(keys, MAX_BROADCAST), "key", "left_semi").dropDuplicates(["key"])
 
         def split(buckets: pd.Series, tokens: pd.Series) -> pd.Series:
             return pd.Series([sampled(np.frombuffer(t, np.uint32), b, threshold).tolist() for b, t in zip(buckets, tokens)])
 
         below = F.pandas_udf(split, "array<long>")
-        rows = scratch.put(large.join(tokens, "key").select(F.explode(below("bucket", "tokens")).alias("bucket"), "x"))
-    return leaves
+        rows = scratch.put(large.join(tokens, "key").select(F.explode(below("bucket", "tokens")).alias("bucket"), "key"))
+    told = classes.select("key", F.struct("copies", "key", "n", "sketch").alias("x"))
+    out = scratch.put(leaves.join(told, "key").select("bucket", "x", "members"))
+    scratch.drop(*parts)
+    return out
+
+
+def _unpacked(tokens: pd.Series) -> pd.Series:
+    return pd.Series([np.frombuffer(t, np.uint32).astype(np.int64) for t in tokens])
+
+
+def _rare_pairs(member: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """member (key, root, n), written -> the pairs (a, b) of different components that can reach the threshold.
+
+    Two such sets share one of their n - ceil(threshold * n) + 1 rarest tokens, at places that leave enough
+    tokens behind them. A token that many members share is rare in none of them but in copies of each other.
+    """
+    tokens = sets.select("key", "tokens").join(checked_broadcast(member.select("key"), MAX_BROADCAST), "key", "left_semi").dropDuplicates(["key"])
+    unpack = F.pandas_udf(_unpacked, "array<long>")
+    rows = scratch.put(member.join(tokens, "key").select("key", "root", "n", F.explode(unpack("tokens")).alias("token")))
+    counts = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    rarest = Window.partitionBy("key").orderBy("members", "token")  # one set
+    first = rows.join(counts, "token").withColumn("place", F.row_number().over(rarest))
+    first = scratch.put(first.where((F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1) & (F.col("lo") != F.col("hi")))
+                        .select("token", "key", "root", "n", "place"))
+    scratch.drop(rows)
+    other = first.select("token", F.col("key").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"))
+    most = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) + 1
+    enough = most >= threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-6
+    sized = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-6
+    return first.join(other, "token").where((F.col("root") < F.col("other")) & sized & enough).select(F.col("key").alias("a"), "b")
 
 
 def _count_links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -230,12 +262,17 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE,
     known = scratch.put(components(first, scratch))
     # what a leader did not join: pairs of a bucket that are in different components
     member = leaves.withColumn("node", F.col("x.key")).join(known, "node", "left").select(
-        "bucket", "x", F.coalesce("root", "node").alias("root"))
+        "bucket", "x", "members", F.coalesce("root", "node").alias("root"))
     mixed = member.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
     member = scratch.put(member.join(mixed, "bucket", "left_semi"))
     other = member.select("bucket", F.col("x").alias("y"), F.col("root").alias("other"))
-    rest = member.join(other, "bucket").where((F.col("root") < F.col("other")) & _alike(threshold))
-    second = _linked(rest.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")), some, threshold, scratch)
+    rest = member.where(F.col("members") <= limit).join(other, "bucket").where((F.col("root") < F.col("other")) & _alike(threshold))
+    rest = rest.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    crowd = scratch.put(member.where(F.col("members") > limit).select("x.key", "root", "x.n").distinct())
+    if not crowd.isEmpty():
+        rest = rest.unionByName(_rare_pairs(crowd, some, threshold, scratch))
+    second = _linked(rest, some, threshold, scratch)
+    scratch.drop(leaves, member)
     found = scratch.put(components(first.unionByName(second), scratch))
     grouped = scratch.put(classes.select("key", "text_id", "copies").join(
         found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
