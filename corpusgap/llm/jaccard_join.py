@@ -31,7 +31,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusgap.llm.common import WORD, Scratch, checked_broadcast, packed
 from corpusgap.llm.components import components
@@ -40,6 +39,7 @@ THRESHOLD, SIZE = 0.8, 5
 RECALL, LIMIT, DEPTH = 0.9999, 200, 3
 BITS, SURE = 256, 128  # sketches say little about sets of fewer than SURE shingles
 BLOCK = 500
+PLACES = 1 << 16  # counters of tokens
 MAX_BROADCAST = 500_000
 
 _WORDS = re.compile(WORD)
@@ -170,30 +170,51 @@ def _leaves(classes: DataFrame, sets: DataFrame, threshold: float, limit: int, d
     return out
 
 
-def _unpacked(tokens: pd.Series) -> pd.Series:
-    return pd.Series([np.frombuffer(t, np.uint32).astype(np.int64) for t in tokens])
+def _frequencies(tokens: DataFrame) -> np.ndarray:
+    """How many sets have a token of each of the PLACES hashed places."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(PLACES, np.int64)
+        for batch in batches:
+            for t in batch["tokens"]:
+                total += np.bincount(np.frombuffer(t, np.uint32) % PLACES, minlength=PLACES)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"at": at, "n": total[at]})
+
+    out = np.zeros(PLACES, np.int64)
+    for r in tokens.select("tokens").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]  # PLACES rows at most
+    return out
+
+
+def rarest(tokens: np.ndarray, frequencies: np.ndarray, threshold: float) -> np.ndarray:
+    """The n - ceil(threshold * n) + 1 first tokens of a set, in one order for all sets: rare places first."""
+    most = len(tokens) - math.ceil(threshold * len(tokens) - 1e-9) + 1
+    return tokens[np.lexsort((tokens, frequencies[tokens % PLACES]))[:most]]
 
 
 def _rare_pairs(member: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """member (key, root, n), written -> the pairs (a, b) of different components that can reach the threshold.
 
-    Two such sets share one of their n - ceil(threshold * n) + 1 rarest tokens, at places that leave enough
-    tokens behind them. A token that many members share is rare in none of them but in copies of each other.
+    Two such sets share one of their rarest tokens, at places that leave enough tokens behind them. A token
+    that many members share is rare in none of them but in copies of each other.
     """
     tokens = sets.select("key", "tokens").join(checked_broadcast(member.select("key"), MAX_BROADCAST), "key", "left_semi").dropDuplicates(["key"])
-    unpack = F.pandas_udf(_unpacked, "array<long>")
-    rows = scratch.put(member.join(tokens, "key").select("key", "root", "n", F.explode(unpack("tokens")).alias("token")))
-    counts = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    rarest = Window.partitionBy("key").orderBy("members", "token")  # one set
-    first = rows.join(counts, "token").withColumn("place", F.row_number().over(rarest))
-    first = scratch.put(first.where((F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1) & (F.col("lo") != F.col("hi")))
-                        .select("token", "key", "root", "n", "place"))
-    scratch.drop(rows)
-    other = first.select("token", F.col("key").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"))
-    most = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) + 1
+    tokens = scratch.put(tokens)
+    shared = member.sparkSession.sparkContext.broadcast(_frequencies(tokens))  # PLACES numbers
+
+    def first_of(column: pd.Series) -> pd.Series:
+        return pd.Series([rarest(np.frombuffer(t, np.uint32), shared.value, threshold).astype(np.int64) for t in column])
+
+    first = F.pandas_udf(first_of, "array<long>")
+    rows = scratch.put(member.join(tokens, "key").select("key", "root", "n", F.posexplode(first("tokens")).alias("place", "token")))
+    mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    rows = scratch.put(rows.join(mixed, "token", "left_semi"))
+    other = rows.select("token", F.col("key").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"))
+    most = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at"))
     enough = most >= threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-6
     sized = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-6
-    return first.join(other, "token").where((F.col("root") < F.col("other")) & sized & enough).select(F.col("key").alias("a"), "b")
+    return rows.join(other, "token").where((F.col("root") < F.col("other")) & sized & enough).select(F.col("key").alias("a"), "b")
 
 
 def _count_links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:

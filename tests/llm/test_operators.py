@@ -292,6 +292,16 @@ def test_join_against_brute_force(spark, limit):
     assert {r["doc_id"]: (r["text_id"], r["n_copies"], r["class_id"], r["n_links"]) for r in rows} == join_brute(texts)
 
 
+def test_join_of_a_crowd_around_one_passage(spark):
+    rng = np.random.default_rng(9)
+    passage = words(80)
+    texts = [passage + " " + words(int(k), 1000 * (i + 1)) for i, k in enumerate(rng.integers(6, 60, 70))]
+    rows = jaccard_join.near_copies(docs_of(spark, texts), limit=5, depth=2).collect()
+    want = join_brute(texts)
+    assert len({w[2] for w in want.values()}) > 20
+    assert {r["doc_id"]: (r["text_id"], r["n_copies"], r["class_id"], r["n_links"]) for r in rows} == want
+
+
 def test_join_counts_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 7)
     texts = near_texts()
