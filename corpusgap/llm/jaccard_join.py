@@ -47,7 +47,7 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x2
 _STARTS = (np.arange(BITS, dtype=np.uint64) * np.uint64(2**32 // BITS)).astype(np.uint32)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
@@ -62,22 +62,22 @@ def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
     n = max(len(h) - size + 1, 1)
     total = np.zeros(n, np.uint64)
     for k in range(min(size, len(h))):
-        total = _mixed(total * _ODD[0] + h[k:k + n] + np.uint64(k))
+        total = mixed(total * _ODD[0] + h[k:k + n] + np.uint64(k))
     return np.unique((total >> np.uint64(32)).astype(np.uint32))
 
 
 def sketch(tokens: np.ndarray) -> list[int]:
     """One bit of the next hash from each of BITS places on, the first one after the last."""
     at = np.searchsorted(tokens, _STARTS) % len(tokens)
-    bits = (_mixed(tokens[at].astype(np.uint64)) >> np.uint64(20)) & np.uint64(1)
+    bits = (mixed(tokens[at].astype(np.uint64)) >> np.uint64(20)) & np.uint64(1)
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
 def sampled(tokens: np.ndarray, node: int, threshold: float) -> np.ndarray:
     """Buckets below a node of the tree (a run's root, or a bucket) that the set goes to."""
-    u = _mixed(tokens.astype(np.uint64) * _ODD[1] + np.uint64(node % 2**64))
+    u = mixed(tokens.astype(np.uint64) * _ODD[1] + np.uint64(node % 2**64))
     chosen = u[(u >> np.uint64(32)) < np.uint64(min(2**32, int(2**32 / (threshold * len(tokens)))))]
-    return _mixed(chosen + np.uint64(node * int(_ODD[2]) % 2**64)).view(np.int64)
+    return mixed(chosen + np.uint64(node * int(_ODD[2]) % 2**64)).view(np.int64)
 
 
 def runs_for(recall: float, threshold: float) -> int:
@@ -110,7 +110,7 @@ def sets_of(docs: DataFrame, size: int, threshold: float, runs: int) -> DataFram
         run, f"doc_id {kind}, row_hash long, key binary, n int, sketch array<long>, buckets array<long>, tokens binary")
 
 
-def _alike(threshold: float) -> Column:
+def alike(threshold: float) -> Column:
     """Whether the sizes and sketches of two members, x and y, leave the threshold open."""
     differ = sum((F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(BITS // 64)), F.lit(0))
     lowest = 1 - 2 * differ / BITS >= threshold - 0.2
@@ -193,7 +193,7 @@ def rarest(tokens: np.ndarray, frequencies: np.ndarray, threshold: float) -> np.
     return tokens[np.lexsort((tokens, frequencies[tokens % PLACES]))[:most]]
 
 
-def _rare_pairs(member: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+def rare_pairs(member: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """member (key, root, n), written -> the pairs (a, b) of different components that can reach the threshold.
 
     Two such sets share one of their rarest tokens, at places that leave enough tokens behind them. A token
@@ -278,7 +278,7 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE,
         F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets")))
     leaves = _leaves(classes, some, threshold, limit, depth, scratch)
     leader = leaves.groupBy("bucket").agg(F.max("x").alias("y"))
-    stars = leaves.join(leader, "bucket").where((F.col("x.key") != F.col("y.key")) & _alike(threshold))
+    stars = leaves.join(leader, "bucket").where((F.col("x.key") != F.col("y.key")) & alike(threshold))
     first = _linked(stars.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")), some, threshold, scratch)
     known = scratch.put(components(first, scratch))
     # what a leader did not join: pairs of a bucket that are in different components
@@ -287,11 +287,11 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE,
     mixed = member.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
     member = scratch.put(member.join(mixed, "bucket", "left_semi"))
     other = member.select("bucket", F.col("x").alias("y"), F.col("root").alias("other"))
-    rest = member.where(F.col("members") <= limit).join(other, "bucket").where((F.col("root") < F.col("other")) & _alike(threshold))
+    rest = member.where(F.col("members") <= limit).join(other, "bucket").where((F.col("root") < F.col("other")) & alike(threshold))
     rest = rest.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
     crowd = scratch.put(member.where(F.col("members") > limit).select("x.key", "root", "x.n").distinct())
     if not crowd.isEmpty():
-        rest = rest.unionByName(_rare_pairs(crowd, some, threshold, scratch))
+        rest = rest.unionByName(rare_pairs(crowd, some, threshold, scratch))
     second = _linked(rest, some, threshold, scratch)
     scratch.drop(leaves, member)
     found = scratch.put(components(first.unionByName(second), scratch))
