@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NON_BLANK = r"[^\x20\x09-\x0D]+"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,7 +36,13 @@ class Scratch:
 
     def put(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", codec).parquet(path)
+        # what was shuffled for a written table is needed no more
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self._keep = [*getattr(self, "_keep", []), out]  # ids stay unique while the frames live

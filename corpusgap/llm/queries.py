@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgap.llm import chat, decontamination, jaccard_join, language, licenses, line_dedup, mixing, quality, token_shards, toxicity
+from corpusgap.llm import chat, decontamination, jaccard_join, language, licenses, line_dedup, mixing, quality, token_shards, toxicity, whitening
 from corpusgap.llm.common import table
 
 
@@ -61,6 +61,22 @@ def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("row_hash", "source")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable embeddings on the first components of their whitening."""
+    entry = lambda c: F.floor(c.cast("double") * 64) + 1_000_000
+    vectors = table(spark, sf_dir, "embeddings").where(whitening.usable(F.col("embedding")))
+    vectors = vectors.select("vec_id", F.transform("embedding", entry).alias("x"))
+    model, rows = whitening.whiten(vectors, F.col("x"))
+    rows = rows.select("row.vec_id", "row.x", "coordinates")
+    n, sums = F.lit(model.n), whitening.fixed_array(model.sums)
+    deviation = F.aggregate(F.zip_with("x", sums, lambda x, s: n * x - s), F.lit(0).cast("bigint"), lambda a, v: a + v * v)
+    told = rows.select("vec_id", deviation.alias("deviation"), F.posexplode("coordinates").alias("place", "whitened"))
+    return told.select(
+        "vec_id", (F.col("place") + 1).alias("component"), n.cast("bigint").alias("n"), "deviation", "whitened",
+        F.get(whitening.fixed_array(model.explained), F.col("place")).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"))
+
+
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -74,7 +90,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op2_decontamination, op3_quality, op4_license_scan, op5_toxicity, op6_token_shards, op7_jaccard_join, op8_language_id, op9_entropy_mix, op10_chat_format)}
+    op1_line_dedup, op2_decontamination, op3_quality, op4_license_scan, op5_toxicity, op6_token_shards, op7_jaccard_join, op8_language_id, op9_entropy_mix, op10_chat_format,
+    op11_whitening)}
 
 
 def _license_sql() -> str:

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert numbers == list(range(1, 14)) and set(queries.ORACLES) <= set(queries.QUERIES)
 
 
 @pytest.fixture(scope="module")
