@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgap.llm import chat, decontamination, jaccard_join, language, licenses, line_dedup, mixing, quality, token_shards, toxicity, whitening
-from corpusgap.llm.common import table
+from corpusgap.llm import chat, decontamination, jaccard_join, language, licenses, line_dedup, mixing, periodic, quality, token_shards, toxicity, whitening
+from corpusgap.llm.common import NON_BLANK, table, words
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,30 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(model.identity_error).alias("identity_error"))
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text, in which the end of every tenth text (by a hash of its id) repeats with a period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    own = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words(F.col("text"), NON_BLANK)).alias("w"))
+    n = F.size("w")
+    cut = own.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", F.lit(1) + F.floor((n - F.col("a")) / (F.col("g") % 8 + 3)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    again = F.transform(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1), lambda i: F.get("w", place(i).cast("int")))
+    return cut.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, every tenth of which ends in repeats."""
+    found = periodic.find(with_repeats(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    told = found.select("doc.doc_id", F.size("runs").cast("bigint").alias("n_runs"), longest.alias("top"), "collapsed",
+                        F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "").alias("listed"))
+    return told.select(
+        "doc_id", "n_runs", F.col("top.start").alias("start"), (-F.col("top.less")).alias("length"), F.col("top.period").alias("period"),
+        F.floor(-F.col("top.less") * 1000 / F.col("top.period")).alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -91,7 +115,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_decontamination, op3_quality, op4_license_scan, op5_toxicity, op6_token_shards, op7_jaccard_join, op8_language_id, op9_entropy_mix, op10_chat_format,
-    op11_whitening)}
+    op11_whitening, op12_periodic_runs)}
 
 
 def _license_sql() -> str:

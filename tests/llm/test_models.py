@@ -1,10 +1,16 @@
 """Whitening, periodic runs and the suffix-tree language model on small tables."""
 
+import hashlib
+import random
+import re
+import zlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusgap.llm import queries, whitening
+from corpusgap.llm import hashed_words, periodic, queries, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,3 +72,108 @@ def test_whitening_query(spark):
 def test_whitening_of_nothing(spark, tmp_path):
     spark.read.parquet(f"{SF}/embeddings.parquet").limit(0).write.parquet(f"{tmp_path}/embeddings.parquet")
     assert queries.QUERIES["op11_whitening"](spark, str(tmp_path)).count() == 0
+
+
+# words as hashes
+
+def test_hashed_words():
+    texts = ["", None, "a b\ta", "  Ab\x0bc\x0c", "é\u2003x A", "word" * 200_000, "x", "b" * 300_000 + " a", "\x1c\x85a"]
+    column = pa.array(["drop", *texts])[1:]
+    for lower in (False, True):
+        data, offsets = hashed_words.buffers(column)
+        got = hashed_words.split(data, offsets, lower)
+        raw = [(t or "").encode() for t in texts]
+        want = [w.lower() if lower else w for t in raw for w in t.split()]
+        assert got.counts.tolist() == [len(t.split()) for t in raw]
+        assert [bytes(got.data[a:b]) for a, b in zip(got.first, got.end)] == [w for t in raw for w in t.split()]
+        assert len(set(zip(want, got.hash.tolist()))) == len(set(want)) == len(set(got.hash.tolist()))
+    assert hashed_words.groups(np.array([0, 5, 6, 30, 31]), 10) == [(0, 2), (2, 3), (3, 4)]
+
+
+# 12 periodic runs
+
+def runs_brute(w):
+    out, n = [], len(w)
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and w[j] == w[j + q]:
+                j += 1
+            length = j + q - i
+            if length >= max(6, 4 * q) and not any(
+                    all(w[x] == w[x + d] for x in range(i, i + length - d)) for d in range(1, q)):
+                out.append((i, length, q))
+            i = max(j, i + 1)
+    return sorted(out)
+
+
+def test_runs_of_random_words():
+    rng = random.Random(5)
+    for _ in range(1500):
+        n, k = rng.randint(0, 60), rng.choice([1, 2, 3, 5])
+        w = [rng.randint(1, k) for _ in range(n)]
+        if n and rng.random() < 0.6:
+            a = rng.randrange(n)
+            p = rng.randint(1, max(1, (n - a) // 4))
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+        assert [tuple(r) for r in periodic.runs_of(np.array(w, np.uint64)).tolist()] == runs_brute(w)
+
+
+def test_suffix_tree_extensions():
+    rng = np.random.default_rng(3)
+    for k in (1, 2, 4):
+        text = [*rng.integers(1, k + 1, 80).tolist(), 0]
+        for falling in (False, True):
+            order, depths = periodic.tour(periodic.suffix_tree(text), len(text), falling)
+            sign = -1 if falling else 1
+            assert order.tolist() == sorted(range(len(text)), key=lambda i: [sign * c if c else -99 for c in text[i:]])
+        i, j = (a.ravel() for a in np.meshgrid(range(81), range(81)))
+        some = i != j
+        order, depths = periodic.tour(periodic.suffix_tree(text), len(text))
+        got = periodic.Extensions(order, depths).of(i[some], j[some])
+        want = [next((d for d in range(81) if max(a, b) + d >= 81 or text[a + d] != text[b + d])) for a, b in zip(i[some], j[some])]
+        assert got.tolist() == want
+
+
+def found_runs(spark, texts):
+    df = spark.createDataFrame([(i, t, 7, "d") for i, t in enumerate(texts)], "doc_id bigint, text string, n_words int, runs string")
+    return {r["doc"]["doc_id"]: r for r in periodic.find(df).collect()}
+
+
+def test_runs_of_odd_texts(spark):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    texts = [None, "", " \n ", "a " * 6, "a " * 5, long + " x y" * 10, ("é ü " * 4) + long, "a b a b a b a b c c c c c c", "A a A a A a A a", "a " * 6]
+    got = found_runs(spark, texts)
+    listed = {i: [tuple(x) for x in r["runs"]] for i, r in got.items()}
+    assert listed == {0: [], 1: [], 2: [], 3: [(0, 6, 1)], 4: [], 5: [(30_000, 20, 2)], 6: [(0, 8, 2)],
+                      7: [(0, 8, 2), (8, 6, 1)], 8: [(0, 8, 2)], 9: [(0, 6, 1)]}
+    assert got[7]["collapsed"] == b"a b c" and got[0]["collapsed"] == b"" and got[5]["collapsed"] == (long + " x y").encode()
+    assert got[5]["doc"].asDict() == {"doc_id": 5, "n_words": 7, "runs": "d"}
+    assert found_runs(spark, []) == {}
+
+
+def test_periodic_query_equals_brute_force(spark):
+    def sha(x):
+        return hashlib.sha256(x.encode()).hexdigest()
+
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")[:]
+        h = zlib.crc32(str(r["doc_id"]).encode())
+        g, n = h // 10, len(w)
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+        if n > 3000:
+            continue  # brute force takes the square of it
+        runs = runs_brute(w)
+        gone = {i for s, length, q in runs for i in range(s + q, s + length)}
+        top = min(((-length, s, q) for s, length, q in runs), default=None)
+        best = (top[1], -top[0], top[2], 1000 * -top[0] // top[2]) if top else (None,) * 4
+        want[r["doc_id"]] = (len(runs), *best, sha("".join(f"{s},{length},{q}\n" for s, length, q in runs)),
+                             sha(" ".join(x for i, x in enumerate(w) if i not in gone)))
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.QUERIES["op12_periodic_runs"](spark, SF).collect()}
+    assert set(want) <= set(got) and sum(v[0] > 0 for v in want.values()) > 5
+    assert {i: got[i] for i in want} == want
