@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgap.llm import chat, decontamination, jaccard_join, language, licenses, line_dedup, mixing, periodic, quality, token_shards, toxicity, whitening
+from corpusgap.llm import chat, decontamination, jaccard_join, language, licenses, line_dedup, mixing, periodic, quality, suffix_model, token_shards, toxicity, whitening
 from corpusgap.llm.common import NON_BLANK, table, words
 
 
@@ -101,6 +101,15 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_suffix_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability of all documents, learned outside the held-out tenth."""
+    held_out = lambda i: F.coalesce(F.crc32(i.cast("string")) % 10 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    told, tokens = suffix_model.score(docs, ~held_out(F.col("doc_id")))
+    return told.select("doc.doc_id", held_out(F.col("doc.doc_id")).alias("held_out"), "n_tokens", "n_known",
+                       F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -115,7 +124,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_decontamination, op3_quality, op4_license_scan, op5_toxicity, op6_token_shards, op7_jaccard_join, op8_language_id, op9_entropy_mix, op10_chat_format,
-    op11_whitening, op12_periodic_runs)}
+    op11_whitening, op12_periodic_runs, op13_suffix_model)}
 
 
 def _license_sql() -> str:
