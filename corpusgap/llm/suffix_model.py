@@ -43,7 +43,7 @@ from corpusgap.llm.hashed_words import mixed
 DEPTH, LEAST = 3, 8
 COST, DISCOUNT = 4.0, 0.75  # chosen on a tenth of the learning texts
 ADDED = 0.1
-BLOCK = 6 << 20  # bytes of text
+BLOCK = 2 << 20  # bytes of text
 RANGE = 1 << 20  # tokens of the corpus for each range of keys
 KEY_BITS = 56  # the last one tells words from sequences
 END = np.uint64(7)
