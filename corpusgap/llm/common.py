@@ -33,6 +33,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        self.names: dict[int, str] = {}  # of tables that the session's catalog knows
+        self._keep: list[DataFrame] = []  # ids stay unique while the frames live
 
     def put(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
@@ -45,12 +47,29 @@ class Scratch:
             self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
-        self._keep = [*getattr(self, "_keep", []), out]  # ids stay unique while the frames live
+        self._keep.append(out)
+        return out
+
+    def put_buckets(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """Like `put`, bucketed by key: grouping or joining by it does not shuffle the table again."""
+        name = f"scratch_{uuid.uuid4().hex}"
+        path = f"{self.root}/{name}"
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("path", path).option("compression", "none").bucketBy(buckets, key).saveAsTable(name)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        out = self.spark.table(name)
+        self.paths[id(out)], self.names[id(out)] = path, name
+        self._keep.append(out)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark._jvm
         for df in frames:
+            if id(df) in self.names:
+                self.spark.sql(f"drop table if exists {self.names[id(df)]}")
             path = jvm.org.apache.hadoop.fs.Path(self.paths[id(df)])
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 

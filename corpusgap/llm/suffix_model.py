@@ -15,7 +15,8 @@ range is added up over all blocks, and every block gets the totals of its keys b
 first the counts of words and pairs, then those of longer sequences whose context is a candidate, and last the
 divergence and the number of successors of the contexts (the sum of 1 / c(sw) over the positions). Nothing is gathered
 on the driver but N, V and the number of ranges; no table of the model is broadcast. Keys are hashes, and a block
-sends a key once, so that frequent words, hot sources and copies load no range more than others.
+sends a key once, so that frequent words, hot sources and copies load no range more than others. The blocks lie in a table
+that is bucketed by block, so that only the totals are shuffled when they come back.
 
 Sequences are known by 55-bit hashes: among 10^8 distinct ones about one pair falls together, among 10^13 one in four
 thousand. Memory grows with a block (about 150 bytes a word) and with the longest text, which is never cut into
@@ -44,7 +45,8 @@ DEPTH, LEAST = 3, 8
 COST, DISCOUNT = 4.0, 0.75  # chosen on a tenth of the learning texts
 ADDED = 0.1
 BLOCK = 2 << 20  # bytes of text
-RANGE = 1 << 20  # tokens of the corpus for each range of keys
+RANGE = 1 << 19  # tokens of the corpus for each range of keys
+BLOCKS_PER_BUCKET = 8
 KEY_BITS = 56  # the last one tells words from sequences
 END = np.uint64(7)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -53,28 +55,27 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 # numbers as bytes
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Whole numbers from 0 on, in as many bytes each as the largest needs."""
-    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(numbers.max(initial=0)) < 256**w)
-    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+    """Whole numbers from 0 on, compressed: their lowest bytes, then the next ones, as many as the largest needs."""
+    width = max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(pa.decompress(data[9:], width * n, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<i8").ravel()
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Rising keys as differences, in as many bytes each as the largest needs."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
-    return bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Rising keys, as differences."""
+    return pack(np.diff(keys, prepend=keys.dtype.type(0)))
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
-    width = data[0]
-    raw = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    steps = np.zeros((len(raw), 8), np.uint8)
-    steps[:, :width] = raw
-    return np.cumsum(steps.view("<u8").ravel())
+    return np.cumsum(unpack(data)).view(np.uint64)
 
 
 class Block:
@@ -83,7 +84,7 @@ class Block:
     def __init__(self, row: dict, least: int):
         self.least = least
         self.lengths = unpack(row["lengths"])
-        self.tokens = np.frombuffer(row["vocabulary"], "<u8")[unpack(row["ids"])]
+        self.tokens = unpack_sorted(row["vocabulary"])[unpack(row["ids"])]
         self.learned = np.repeat(unpack(row["learned"]).astype(bool), self.lengths)
         starts = np.cumsum(self.lengths) - self.lengths
         self.starts = starts
@@ -153,6 +154,7 @@ class Block:
 
 def key_of(gram: np.ndarray, word: bool) -> np.ndarray:
     """Keys of KEY_BITS bits; those of words are odd."""
+    gram = mixed(gram + _STEP)
     return (gram >> np.uint64(64 - KEY_BITS + 1) << np.uint64(1)) | np.uint64(word)
 
 
@@ -174,14 +176,14 @@ def blocks_of(docs: DataFrame, learned: Column, size: int) -> DataFrame:
                 at = offsets[a:b + 1]
                 words = hashed_words.split(data[at[0]:at[-1]], at - at[0], lower=True)
                 tokens = np.full(len(words.hash) + b - a, END, np.uint64)
-                tokens[np.arange(len(words.hash)) + words.text] = words.hash
+                tokens[np.arange(len(words.hash)) + words.text] = words.hash >> np.uint64(64 - KEY_BITS)
                 vocabulary, ids = np.unique(tokens, return_inverse=True)
                 docs_of = batch.column("doc").slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([
                     pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), docs_of),
                     pa.array([len(tokens)], pa.int64()), pa.array([int(np.sum((words.counts + 1)[flags[a:b]]))], pa.int64()),
                     pa.array([pack(words.counts + 1)]), pa.array([pack(flags[a:b])]),
-                    pa.array([vocabulary.tobytes()], pa.binary()), pa.array([pack(ids)]), pa.array([[]], pa.list_(pa.binary())),
+                    pa.array([pack_sorted(vocabulary)], pa.binary()), pa.array([pack(ids)]), pa.array([[]], pa.list_(pa.binary())),
                 ], names=["docs", "tokens", "learned_tokens", "lengths", "learned", "vocabulary", "ids", "counts"])
 
     kind = rows.schema["doc"].dataType.simpleString()
@@ -205,16 +207,16 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
-def _exchanged(blocks: DataFrame, ask, answer, ranges: int) -> DataFrame:
+def _exchanged(blocks: DataFrame, ask, answer, ranges: int, write=pack, read=unpack) -> DataFrame:
     """range, block, totals, words: what ask(row) -> (keys, first sums, second sums) gets back from
-    answer(keys of all blocks, where each one's begin, first sums, second sums) -> (totals, words)."""
+    answer(keys of all blocks, first sums, second sums) -> (totals, words); sums travel by write and read."""
 
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 keys, first, second = ask(row)
-                rows = [(r, row["block"], pack_sorted(keys[part]), first[part].tobytes(), second[part].tobytes())
+                rows = [(r, row["block"], pack_sorted(keys[part]), *(None if x is None else write(x[part]) for x in (first, second)))
                         for r, part in _ranges(keys, ranges)]
                 if rows:
                     yield _sent(rows)
@@ -223,8 +225,8 @@ def _exchanged(blocks: DataFrame, ask, answer, ranges: int) -> DataFrame:
         table = table.sort_by("block")
         keys = [unpack_sorted(k) for k in table["keys"].to_pylist()]
         bounds = np.cumsum([0, *map(len, keys)])
-        first, second = (b"".join(table[c].to_pylist()) for c in ("first", "second"))
-        totals, words = answer(np.concatenate(keys), first, second)
+        sums = (table[c].to_pylist() for c in ("first", "second"))
+        totals, words = answer(np.concatenate(keys), *(None if x[0] is None else np.concatenate([read(y) for y in x]) for x in sums))
         n = len(keys)
         return pa.table({
             "range": table["range"], "block": table["block"],
@@ -243,16 +245,16 @@ def _received(table: pa.Table) -> np.ndarray:
     return np.concatenate([unpack(t) for t in table.sort_by("range")["totals"].to_pylist()])
 
 
-def _counted(blocks: DataFrame, levels: range, ranges: int, least: int, scratch: Scratch) -> tuple[DataFrame, int]:
+def _counted(blocks: DataFrame, levels: range, ranges: int, buckets: int, least: int, scratch: Scratch) -> tuple[DataFrame, int]:
     """blocks that know the counts of these levels, written; the number of distinct learned words, if asked for."""
 
     def ask(row: dict) -> tuple:
         keys, _, _, often = Block(row, least).wanted(levels)
-        return keys, often.astype("<u4"), np.zeros(0, np.uint8)
+        return keys, often, None
 
-    def answer(keys: np.ndarray, first: bytes, second: bytes) -> tuple[np.ndarray, int]:
+    def answer(keys: np.ndarray, often: np.ndarray, _) -> tuple[np.ndarray, int]:
         distinct, which = np.unique(keys, return_inverse=True)
-        totals = np.bincount(which, np.frombuffer(first, "<u4"), len(distinct)).astype(np.int64)
+        totals = np.bincount(which, often, len(distinct)).astype(np.int64)
         return totals[which], int(np.sum((totals > 0) & (distinct & np.uint64(1) == 1)))
 
     def attach(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -270,7 +272,7 @@ def _counted(blocks: DataFrame, levels: range, ranges: int, least: int, scratch:
 
     replies = scratch.put(_exchanged(blocks, ask, answer, ranges))
     told = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(attach, blocks.schema)
-    done = scratch.put(told)
+    done = scratch.put_buckets(told, "block", buckets)
     kinds = replies.agg(F.sum("words")).first()[0] or 0
     scratch.drop(replies, blocks)
     return done, kinds
@@ -281,21 +283,23 @@ def score(docs: DataFrame, learned: Column, depth: int = DEPTH, least: int = LEA
     """docs (text, ...), learned (whether a row is learned from) -> doc (the other columns), n_tokens, n_known,
     base_score, score (log10 of the probability of the text) of each row; and the number of tokens learned from."""
     scratch = Scratch(docs.sparkSession, "suffix_model")
-    blocks = scratch.put(blocks_of(docs, learned, block))
-    every, tokens = blocks.agg(F.sum("tokens"), F.sum("learned_tokens")).first()
+    read = scratch.put(blocks_of(docs, learned, block))
+    every, tokens, n_blocks = read.agg(F.sum("tokens"), F.sum("learned_tokens"), F.count("*")).first()
     every, tokens = every or 0, tokens or 0
-    ranges = max(1, -(-every // tokens_per_range))
-    blocks, kinds = _counted(blocks, range(2), ranges, least, scratch)
+    ranges, buckets = max(1, -(-every // tokens_per_range)), max(1, -(-n_blocks // BLOCKS_PER_BUCKET))
+    blocks = scratch.put_buckets(read.repartition(buckets, "block"), "block", buckets)
+    scratch.drop(read)
+    blocks, kinds = _counted(blocks, range(2), ranges, buckets, least, scratch)
     for level in range(2, depth + 1):
-        blocks, _ = _counted(blocks, range(level, level + 1), ranges, least, scratch)
+        blocks, _ = _counted(blocks, range(level, level + 1), ranges, buckets, least, scratch)
 
     def ask(row: dict) -> tuple:
         keys, _, _, gain, part = Block(row, least).contexts(depth, tokens)
-        return keys, gain.astype("<f4"), part.astype("<f4")
+        return keys, gain, part
 
-    def answer(keys: np.ndarray, first: bytes, second: bytes) -> tuple[np.ndarray, int]:
+    def answer(keys: np.ndarray, gains: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, int]:
         distinct, which = np.unique(keys, return_inverse=True)
-        gain, successors = (np.bincount(which, np.frombuffer(x, "<f4").astype(float), len(distinct)) for x in (first, second))
+        gain, successors = (np.bincount(which, x, len(distinct)) for x in (gains, parts))
         return np.where(gain >= cost * successors, np.rint(successors), 0).astype(np.int64)[which], 0
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -309,7 +313,8 @@ def score(docs: DataFrame, learned: Column, depth: int = DEPTH, least: int = LEA
                          "base_score": base, "score": model})
 
     kind = blocks.schema["docs"].dataType.elementType.simpleString()
-    replies = _exchanged(blocks, ask, answer, ranges)
+    replies = _exchanged(blocks, ask, answer, ranges, lambda x: pack(x.astype("<f4").view("<u4")),
+                         lambda x: unpack(x).astype("<u4").view("<f4").astype(float))
     out = blocks.drop("tokens", "learned_tokens").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
         scored, f"doc {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
     return out, tokens
