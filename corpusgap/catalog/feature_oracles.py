@@ -113,7 +113,8 @@ LIMITS = {
 }
 
 
-def normalized(compat: bool) -> str:
+def normal_columns() -> str:
+    """All numbers, those with limits rescaled to 0 .. 1."""
     columns = []
     for n in [fixed.DIFFICULTY, *fixed.DISTANCES, *SCORE_SIDES]:
         if n in LIMITS:
@@ -121,15 +122,99 @@ def normalized(compat: bool) -> str:
             columns.append(f'least(1.0::double, greatest(0.0::double, ("{n}" - {low}) / ({high - low})::double)) as "{n}"')
         else:
             columns.append(f'"{n}"')
+    return ", ".join(columns)
+
+
+NORM = f"{FEATURES}, norm as (select {KEYS}, row_key, {normal_columns()} from features)"
+
+
+def normalized(compat: bool) -> str:
     sums = {}
     for s in SIDES:
         names = [f"{s}_{m}" for m in fixed.METRICS] + ([f"{s}_shannon_entropy"] if compat else [])
         sums[s] = f"(({plus(names)}) / {len(names)}.0::double)"
-    return f"""{FEATURES}, norm as (select {KEYS}, row_key, {", ".join(columns)} from features)
+    return f"""{NORM}
 select {KEYS}, row_key, {rounds([fixed.DIFFICULTY, *fixed.DISTANCES, *SCORE_SIDES])},
   {with_drop(sums["source"], sums["target"])} from norm"""
 
 
+ALL_MEAN = {s: f"(({plus([f'{s}_{m}' for m in fixed.METRICS])}) / 12.0::double)" for s in SIDES}
+NOT_REDUNDANT = [n for n in fixed.DOMAIN_FEATURES if n not in ("js-divergence", "vocab-overlap", "source_shannon_entropy")]
+# columns of the design matrices on normalized features, and their label
+BASELINE_NORM = [*fixed.DOMAIN_FEATURES, *ROUGE["source"]]
+ALL_NORM = [fixed.DIFFICULTY, *[d for d in fixed.DISTANCES if d != "source_shannon_entropy"], *[f"source_{m}" for m in fixed.METRICS]]
+
+
+def drop_of(means: dict[str, str]) -> str:
+    return f"{means['source']} - {means['target']}"
+
+
+def matrix(source: str, columns: list[str], means: dict[str, str], more: dict[str, str] | None = None) -> str:
+    """SQL of a design matrix: row key, rounded columns, and the drop of these means."""
+    extra = "".join(f', round({v}, 6) as "{k}"' for k, v in (more or {}).items())
+    with_ = FEATURES if source == "features" else NORM
+    return f"{with_} select row_key, {rounds(columns)}{extra}, round({drop_of(means)}, 6) as y_drop from {source}"
+
+
+DESIGN_MATRICES = {
+    "design_matrix_baseline_raw": matrix("features", BASELINE_NORM, ROUGE_MEAN),
+    "design_matrix_baseline_norm": matrix("norm", BASELINE_NORM, ROUGE_MEAN),
+    "design_matrix_baseline_norm_red": matrix("norm", NOT_REDUNDANT, ROUGE_MEAN, {"rouge_source": ROUGE_MEAN["source"]}),
+    "design_matrix_all_norm": matrix("norm", ALL_NORM, ALL_MEAN),
+    "design_matrix_all_red": matrix("norm", NOT_REDUNDANT, REDUCED_MEAN,
+                                    {k: v for k, v in GROUP_MEANS.items() if k.startswith("source_")}),
+}
+
+
+def run_rows(mode: str, columns: list[str], means: dict[str, str]) -> str:
+    return f"""select '{mode}' as features, row_key, source, [{", ".join(f'"{c}"' for c in columns)}]::double[] as x,
+    {drop_of(means)} as y from norm"""
+
+
+# Least squares of every run and part by Gauss-Jordan elimination of the normal equations. On these tables
+# the root of the rows is above the number of columns, so that feature selection leaves none out.
+SWEEP_LINEAR = f"""{NORM},
+modes as ({run_rows("baseline-norm", BASELINE_NORM, ROUGE_MEAN)} union all {run_rows("all-norm", ALL_NORM, ALL_MEAN)}),
+marked as (
+  select features, c.n, y, x, {o.bucket("row_key", 100)} < 33 as is_test, {o.bucket("row_key", 3)} as fold
+  from modes join (select source, dense_rank() over (order by source) as number from (select distinct source from norm)) using (source)
+  join (select unnest([10, 11, 12, 13, 14])::int as n) c on number <= c.n),
+places as (select features, n, is_test, unnest(x) as v, unnest(range(1, len(x) + 1)) as i from marked),
+stats as (select features, n, list(m order by i) as m, list(s order by i) as s from (
+  select features, n, i, avg(v) as m, stddev_pop(v) as s from places where not is_test group by all) group by all),
+scaled as (
+  select features, n, y, is_test, fold,
+    list_prepend(1.0::double, list_transform(x, lambda v, i: (v - m[i]) / case when s[i] = 0 then 1.0 else s[i] end)) as x
+  from marked join stats using (features, n)),
+parts as (select unnest([-1, 0, 1, 2]) as part),
+fits as (
+  select features, n, part, x, y from scaled, parts where case when part < 0 then not is_test else fold <> part end),
+cells as (
+  select features, n, part, i, j, sum(x[i] * case when j > len(x) then y else x[j] end) as v
+  from (select *, unnest(range(1, len(x) + 1)) as i from fits) q, lateral (select unnest(range(1, len(q.x) + 2)) as j) l
+  group by all),
+start as (select features, n, part, list(r order by i) as m from (
+  select features, n, part, i, list(v order by j) as r from cells group by all) group by all),
+elimination as (
+  select 1 as k, * from start
+  union all
+  select k + 1, features, n, part, list_transform(m, lambda r, i: case when i = k then list_transform(r, lambda v: v / r[k])
+    else list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) end)
+  from elimination where k <= len(m)),
+solved as (select features, n, part, list_transform(m, lambda r: r[len(r)]) as b from elimination where k = len(m) + 1),
+errors as (
+  select features, n, part, y, list_dot_product(x, b) - y as e
+  from scaled join solved using (features, n) where case when part < 0 then is_test else fold = part end),
+part_scores as (
+  select features, n, part, avg(e * e) as mse, avg(abs(e)) as mae, sqrt(avg(e * e)) as rmse, 1 - avg(e * e) / var_pop(y) as r2
+  from errors group by all),
+used as (select features, n, count(*) as rows_used from marked group by all)
+select features, feature_selection, n as num_datasets, rows_used,
+  {", ".join(f"round(max({v}) filter (part < 0), 3) as {v}" for v in ("mse", "mae", "rmse", "r2"))},
+  {", ".join(f'round(avg({v}) filter (part >= 0), 3) as "k-fold-{v}"' for v in ("mse", "mae", "rmse", "r2"))}
+from part_scores join used using (features, n), (select unnest([false, true]) as feature_selection)
+group by all"""
+
 LINE = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 LINE_KEY = "l_orderkey || '-' || l_linenumber"
 LINES = f"""lines as (
@@ -274,6 +359,8 @@ NO_DROP = """avg(power(v, 2)) as mse, avg(abs(v)) as mae, sqrt(avg(power(v, 2)))
          1 - avg(power(v, 2)) / var_pop(v) as r2"""
 
 FEATURE_SQL = {
+    **DESIGN_MATRICES,
+    "sweep_linear": SWEEP_LINEAR,
     "domain_pairs": f"with {o.PAIRS} select * from pairs",
     "pair_resolution": f"with {o.PAIRS}, {RESOLVED_SCORES} select * from resolved_scores",
     "score_lookup": f"""

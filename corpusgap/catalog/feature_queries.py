@@ -13,7 +13,7 @@ from corpusgap.functions import fixed_values as fixed
 from corpusgap.functions import stats
 from corpusgap.operators import features, ingest, models, pairs
 from corpusgap.plans import feature_table as plan
-from corpusgap.plans import regression, report
+from corpusgap.plans import regression, report, sweep
 from corpusgap.runtime import pin, sized_for_fitting, use_all_cores
 
 SOURCE_METRICS = [f"source_{m}" for m in fixed.METRICS]
@@ -122,6 +122,15 @@ def mode_design_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return rounded_all(regression.design_matrix(_keyed(spark, sf), "all-raw"))
 
 
+def design_matrix_query(mode: str):
+    """What the models of one mode see."""
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        return rounded_all(regression.design_matrix(regression.derive(_keyed(spark, sf), mode), mode))
+
+    query.__name__ = f"design_matrix_{mode.replace('-', '_')}"
+    return query
+
+
 def category_index(spark: SparkSession, sf: str) -> DataFrame:
     """Categorical columns replaced by their index, so that model kind can be a feature."""
     table = _keyed(spark, sf).select("row_key", "da-type", "ft")
@@ -229,8 +238,13 @@ def run_regression(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def regression_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """The sweep with the three linear models; boosted trees run in run_regression."""
-    return regression.sweep(_keyed(spark, sf), model_names=("linear", "ridge", "lasso"))[0]
+    """All four models over modes, numbers of domains, and feature selection off and on."""
+    return sweep.sweep(_keyed(spark, sf))[0]
+
+
+def sweep_linear(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows used and least-squares scores of all runs of the sweep."""
+    return sweep.sweep(_keyed(spark, sf), model_names=("linear",))[0].drop("rows_dropped")
 
 
 def predict_unseen(spark: SparkSession, sf: str) -> DataFrame:
@@ -280,6 +294,7 @@ QUERIES = {
         normalize_features_compat, mode_design_matrix, category_index, standardize,
         standardize_compat, f_regression, ols_simple, ols_fit, ridge_fit, lasso_fit,
         regression_metrics, kfold_scores, gbt_fit, forest_fit, run_regression, regression_sweep,
-        predict_unseen, selection_counts, result_compare,
+        predict_unseen, selection_counts, result_compare, sweep_linear,
+        *[design_matrix_query(mode) for mode in fixed.EXCLUDED if mode != "all-raw"],
     ]
 }

@@ -108,6 +108,19 @@ SCORE_FOLDS = 3
 HOLDOUT_PERCENT = 33
 VALIDATION_PERCENT = 10
 BOOSTING_ROUNDS = 20
+BOOSTING_FOLD_ROUNDS = 100
 BOOSTING_DEPTH = 6
 BOOSTING_STEP = 0.3
 SWEEP_DOMAIN_COUNTS = (10, 11, 12, 13, 14)
+
+# Columns that the design matrix of each mode leaves out (target scores, keys, means).
+MEAN_COLUMNS = ["weighted_y_target", "weighted_y_source"]
+REDUNDANT_COLUMNS = ["js-divergence", "vocab-overlap", "source_shannon_entropy"]
+EXCLUDED = {
+    "baseline-raw": [*MEAN_COLUMNS, "target", *[f"target_{m}" for m in BASELINE_METRICS]],
+    "baseline-norm": [*MEAN_COLUMNS, "target", *[f"target_{m}" for m in BASELINE_METRICS]],
+    "baseline-norm-red": [*MEAN_COLUMNS, *REDUNDANT_COLUMNS, "target", "rouge_target"],
+    "all-raw": [*MEAN_COLUMNS, *PAIR_KEYS, "source_shannon_entropy", *[f"target_{m}" for m in METRICS]],
+    "all-norm": [*MEAN_COLUMNS, *PAIR_KEYS, "source_shannon_entropy", *[f"target_{m}" for m in METRICS]],
+    "all-red": [*MEAN_COLUMNS, *REDUNDANT_COLUMNS, "target", *[f"target_{g}" for g in METRIC_GROUPS]],
+}

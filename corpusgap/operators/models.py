@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgap.functions import fixed_values as fixed
+from corpusgap.operators.lasso_path import duality_gap, lasso_path
 
 
 def standardize(df: DataFrame, columns: list[str], test: str = "is_test",
@@ -170,64 +171,43 @@ def ridge_penalty(df: DataFrame, columns: list[str], label: str,
     return float(penalties[best["_i"]])
 
 
-def lasso_coefficients(gram: np.ndarray, cross: np.ndarray, n: float, penalty: float,
-                       start: np.ndarray, rounds: int = 1_000) -> np.ndarray:
-    """Minimizer of |y - Xb|² / 2n + penalty |b|₁ from the column products alone.
+def lasso_solution(gram: np.ndarray, cross: np.ndarray, square: float, n: float,
+                   penalty: float) -> tuple[np.ndarray, float]:
+    """The minimizer of |y - Xb|² / 2n + penalty |b|₁ from column products, and its duality gap."""
+    limit = n * penalty
+    beta = lasso_path(gram, cross, limit).at(limit)
+    return beta, float(duality_gap(gram, cross, square, limit, beta))
 
-    Coordinate descent finds which coefficients are not zero; every few rounds these are solved
-    for exactly, and the solution is taken once it meets the optimality conditions.
-    """
-    beta, limit, diagonal = start.copy(), n * penalty, np.diag(gram)
-    usable = [j for j in range(len(beta)) if diagonal[j] > 1e-12 * n]
-    slope = cross - gram @ beta
-    for done in range(rounds):
-        for j in usable:
-            rest = slope[j] + diagonal[j] * beta[j]
-            new = math.copysign(max(abs(rest) - limit, 0.0), rest) / diagonal[j]
-            if new != beta[j]:
-                slope -= gram[:, j] * (new - beta[j])
-                beta[j] = new
-        if done % 5 == 4:
-            exact = _lasso_on(np.flatnonzero(beta), np.sign(beta), gram, cross, limit)
-            if exact is not None:
-                return exact
-    raise RuntimeError(f"the lasso did not converge in {rounds} rounds at penalty {penalty}")
-
-
-def _lasso_on(active: np.ndarray, signs: np.ndarray, gram: np.ndarray, cross: np.ndarray,
-              limit: float) -> np.ndarray | None:
-    """The solution with these non-zero coefficients and signs, if it is optimal."""
-    beta = np.zeros(len(cross))
-    if len(active):
-        block = gram[np.ix_(active, active)]
-        beta[active] = np.linalg.lstsq(block, cross[active] - limit * signs[active], rcond=None)[0]
-    slope = np.abs(cross - gram @ beta)
-    fits = np.all(np.sign(beta[active]) == signs[active])
-    return beta if fits and np.all(slope <= limit + 1e-9 * (limit + np.abs(cross).max())) else None
+
+def lasso_coefficients(gram: np.ndarray, cross: np.ndarray, n: float, penalty: float,
+                       start: np.ndarray | None = None) -> np.ndarray:
+    """The coefficients alone; the path needs no start."""
+    return lasso_solution(gram, cross, 0.0, n, penalty)[0]
 
 
 def lasso_penalty(parts: dict[int, np.ndarray], length: int = fixed.LASSO_PATH_LENGTH,
                   eps: float = fixed.LASSO_PATH_EPS) -> float:
     """The penalty of the smallest mean squared error over the folds, on a geometric path.
 
-    `parts` are the column products per fold, from one pass over the rows; every fit and every
-    validation error on the path follows from these.
+    `parts` are the column products per fold, from one pass over the rows. Each fold's solutions
+    at all penalties lie on one homotopy path, and every validation error follows from products.
     """
     total = sum(parts.values())
     n, _, cross, _, _, _ = centred(total)
     largest = np.max(np.abs(cross)) / n
-    path = largest * np.geomspace(1.0, eps, length)
+    penalties = largest * np.geomspace(1.0, eps, length)
     errors = np.zeros((len(parts), length))
     for f, held_out in enumerate(parts.values()):
         m, gram, products, _, means, mean = centred(total - held_out)
-        size = held_out[0, 0]
-        beta = np.zeros(len(cross))
-        for i, penalty in enumerate(path):
-            beta = lasso_coefficients(gram, products, m, penalty, beta)
+        if m <= 0 or held_out[0, 0] <= 0:
+            continue
+        path = lasso_path(gram, products, m * penalties[-1])
+        for i, penalty in enumerate(penalties):
+            beta = path.at(m * penalty)
             # squared error of y - mean - (x - means) b, from the products of (1, x, y)
             weights = np.concatenate([[means @ beta - mean], -beta, [1.0]])
-            errors[f, i] = weights @ held_out @ weights / size
-    return float(path[int(np.argmin(errors.mean(axis=0)))])
+            errors[f, i] = weights @ held_out @ weights / held_out[0, 0]
+    return float(penalties[int(np.argmin(errors.mean(axis=0)))])
 
 
 def linear_solution(name: str, total: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
@@ -238,7 +218,7 @@ def linear_solution(name: str, total: np.ndarray, penalty: float) -> tuple[float
     elif name == "ridge":
         beta = np.linalg.solve(gram + penalty * np.eye(len(cross)), cross)
     else:
-        beta = lasso_coefficients(gram, cross, n, penalty, np.zeros(len(cross)))
+        beta = lasso_coefficients(gram, cross, n, penalty)
     return float(mean - means @ beta), beta
 
 

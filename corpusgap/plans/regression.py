@@ -2,64 +2,56 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusgap.functions import fixed_values as fixed
-from corpusgap.operators import features, ingest, models
+from corpusgap.operators import boosting, features, ingest, models
 from corpusgap.runtime import at_once, sized_for_fitting
 
 LABEL = "y_drop"
 ROW_KEY = "row_key"
 MODELS = ("linear", "ridge", "lasso", "boosted")
 
-_MEANS = ["weighted_y_target", "weighted_y_source"]
-_REDUNDANT = ["js-divergence", "vocab-overlap", "source_shannon_entropy"]
-EXCLUDED = {
-    "baseline-raw": [*_MEANS, "target", *[f"target_{m}" for m in fixed.BASELINE_METRICS]],
-    "all-raw": [*_MEANS, *fixed.PAIR_KEYS, "source_shannon_entropy",
-                *[f"target_{m}" for m in fixed.METRICS]],
-    "all-red": [*_MEANS, *_REDUNDANT, "target", *[f"target_{g}" for g in fixed.METRIC_GROUPS]],
-    "baseline-norm-red": [*_MEANS, *_REDUNDANT, "target", "rouge_target"],
-}
-EXCLUDED["baseline-norm"] = EXCLUDED["baseline-raw"]
-EXCLUDED["all-norm"] = EXCLUDED["all-raw"]
-
 
 def with_row_key(df: DataFrame) -> DataFrame:
     """Name every pair row, so that hold-out and folds are the same on every run."""
     return df.withColumn(ROW_KEY, F.concat_ws("|", *[F.col(k).cast("string") for k in fixed.PAIR_KEYS]))
 
 
-def derive(table: DataFrame, mode: str, compat: bool = False) -> DataFrame:
-    """The feature set a mode works on, from the pair feature table with row keys."""
-    if mode not in EXCLUDED:
-        raise ValueError(f"unknown mode {mode!r}; known: {sorted(EXCLUDED)}")
+def derive(table: DataFrame, mode: str, compat: bool = False,
+           keys: tuple[str, ...] = (ROW_KEY,)) -> DataFrame:
+    """The feature set a mode works on, from the pair feature table with row keys; `keys` stay."""
+    if mode not in fixed.EXCLUDED:
+        raise ValueError(f"unknown mode {mode!r}; known: {sorted(fixed.EXCLUDED)}")
     if mode.startswith("baseline"):
-        base = features.baseline_features(table, (ROW_KEY,))
+        base = features.baseline_features(table, keys)
         if mode == "baseline-raw":
             return base
         norm = features.normalize_features(base, compat)
         return norm if mode == "baseline-norm" else features.baseline_features_reduced(
-            norm, (ROW_KEY, "target"))
+            norm, (*keys, "target"))
     if mode == "all-raw":
         return table
     norm = features.normalize_features(table, compat)
-    return norm if mode == "all-norm" else features.reduced_features(norm, (ROW_KEY, "target"))
+    return norm if mode == "all-norm" else features.reduced_features(norm, (*keys, "target"))
 
 
 def design_matrix(df: DataFrame, mode: str) -> DataFrame:
     """Drop the columns a mode excludes (they must exist)."""
-    return ingest.drop_columns(df, EXCLUDED[mode])
+    return ingest.drop_columns(df, fixed.EXCLUDED[mode])
 
 
 def split_columns(df: DataFrame) -> tuple[list[str], list[str]]:
     """Numeric and categorical columns, without label, key and split columns."""
-    skip = {LABEL, ROW_KEY, "is_test", "fold"}
+    skip = {LABEL, ROW_KEY, "is_test", "fold", "_rank"}
     fields = [f for f in df.schema.fields if f.name not in skip]
     numeric = [f.name for f in fields if isinstance(f.dataType, T.NumericType)]
     return numeric, [f.name for f in fields if f.name not in numeric]
@@ -143,10 +135,8 @@ def linear_scores(data: DataFrame, columns: list[str], names: list[str],
     found = {(r["model"], r["part"]): r for r in models.score_linear(data, columns, names).collect()}
     scores = {}
     for name in names:
-        prefix = "" if name == "linear" else f"{name}-"
-        scores |= _named(found[name, -1], prefix)
-        folded = [row for (model, part), row in found.items() if model == name and part >= 0]
-        scores |= _named(_fold_means(folded, compat), f"{prefix}k-fold-")
+        parts = {part: row for (model, part), row in found.items() if model == name}
+        scores |= scores_of_parts(parts, "" if name == "linear" else f"{name}-", compat)
     return scores
 
 
@@ -160,7 +150,11 @@ def _fold_means(rows: list, compat: bool) -> dict[str, float | None]:
 
 def other_scores(data: DataFrame, columns: list[str], name: str,
                  compat: bool = False) -> dict[str, float | None]:
-    """Hold-out and k-fold scores of one MLlib model."""
+    """Hold-out and k-fold scores of one tree model."""
+    if name == "boosted":
+        fits = [Fit(0, part, columns, rounds=boosting_rounds(part)) for part in range(-1, fixed.SCORE_FOLDS)]
+        found = boosted_errors(data.withColumn("_rank", F.lit(0)), {0: 0}, fits)
+        return tree_scores({part: found.get((0, part)) for part in range(-1, fixed.SCORE_FOLDS)}, compat)
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
     fitted = tuned_estimator(name, train, columns).fit(train)
     holdout = models.regression_metrics(fitted.transform(test)).first()
@@ -168,6 +162,91 @@ def other_scores(data: DataFrame, columns: list[str], name: str,
     return _named(holdout, f"{name}-") | _named(folded.first(), f"{name}-k-fold-")
 
 
+def boosting_rounds(part: int) -> int:
+    """Trees of the hold-out model, and of the models of the folds."""
+    return fixed.BOOSTING_ROUNDS if part < 0 else fixed.BOOSTING_FOLD_ROUNDS
+
+
+@dataclass(frozen=True)
+class Fit:
+    """A boosted model of one run and part (-1: the hold-out). `scales`, where given, holds mean and
+    deviation of the columns, for training and for test rows."""
+
+    run: int
+    part: int
+    columns: list[str]
+    rounds: int
+    scales: tuple | None = None
+
+
+def boosted_errors(data: DataFrame, last_rank: dict[int, int], fits: list[Fit]) -> dict[tuple, dict]:
+    """mse, mae, rmse and r2 per (run, part) of boosted trees on the rows up to a run's last rank.
+
+    `data` has _rank, is_test, fold, label and the columns. Rows are dealt out to the models that use
+    them, a model a task; a run with more than MAX_ROWS rows is fitted by MLlib's distributed trees.
+    """
+    spark = data.sparkSession
+    per_rank = {r["_rank"]: r["count"] for r in data.groupBy("_rank").count().collect()}
+    rows = {run: sum(n for rank, n in per_rank.items() if rank <= last) for run, last in last_rank.items()}
+    small = [f for f in fits if rows[f.run] <= boosting.MAX_ROWS]
+    names = sorted({c for f in fits for c in f.columns})
+    chosen = {(f.run, f.part): f for f in small}
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        one = chosen[int(key[0]), int(key[1])]
+        rows = rows.sort_values(["is_test", *one.columns, "label"], kind="stable")
+        x, y, test = rows[one.columns].to_numpy(), rows["label"].to_numpy(), rows["is_test"].to_numpy(bool)
+        if one.scales is not None:
+            means, deviations = (np.where(test[:, None], b, a) for a, b in zip(*one.scales))
+            x = (x - means) / deviations
+        held_out = test if one.part < 0 else rows["fold"].to_numpy() == one.part
+        guess = boosting.fit_predict(x[~held_out], y[~held_out], x[held_out], one.rounds,
+                                     fixed.BOOSTING_DEPTH, fixed.BOOSTING_STEP)
+        error, known = guess - y[held_out], y[held_out]
+        return pd.DataFrame([(one.run, one.part, len(known), np.abs(error).sum(), (error**2).sum(),
+                              known.sum(), (known**2).sum())], columns=SUMS)
+
+    out = {}
+    if small:
+        wanted = spark.createDataFrame([(f.run, f.part, last_rank[f.run]) for f in small], "run int, part int, last int")
+        dealt = data.select("_rank", "is_test", "fold", "label", *names).join(
+            F.broadcast(wanted), F.col("_rank") <= F.col("last"))
+        found = dealt.repartition(len(small), "run", "part").groupBy("run", "part").applyInPandas(
+            fit, "run int, part int, n double, absolute double, squares double, label double, label_squares double")
+        out = {(r["run"], r["part"]): from_sums(r) for r in found.collect()}
+    for f in fits:
+        if (f.run, f.part) not in chosen:
+            part = data.where(F.col("_rank") <= last_rank[f.run])
+            held_out = F.col("is_test") if f.part < 0 else F.col("fold") == f.part
+            table = models.assembled(part.drop("features"), f.columns, "label")
+            model = models.boosted(rounds=f.rounds).fit(table.where(~held_out))
+            out[f.run, f.part] = models.regression_metrics(model.transform(table.where(held_out))).first().asDict()
+    return out
+
+
+SUMS = ["run", "part", "n", "absolute", "squares", "label", "label_squares"]
+
+
+def from_sums(row) -> dict[str, float | None]:
+    """Metrics from the number of rows and sums of errors and labels."""
+    n = row["n"]
+    if not n:
+        return dict.fromkeys(("mse", "mae", "rmse", "r2"))
+    mse, variance = row["squares"] / n, row["label_squares"] / n - (row["label"] / n) ** 2
+    return {"mse": mse, "mae": row["absolute"] / n, "rmse": mse**0.5, "r2": 1 - mse / variance if variance > 0 else None}
+
+
+def tree_scores(parts: dict[int, dict | None], compat: bool, name: str = "boosted") -> dict[str, float | None]:
+    return scores_of_parts(parts, f"{name}-", compat)
+
+
+def scores_of_parts(parts: dict[int, dict | None], prefix: str, compat: bool) -> dict[str, float | None]:
+    """The hold-out's metrics (part -1) and the means over the folds, named and rounded."""
+    none = dict.fromkeys(("mse", "mae", "rmse", "r2"))
+    folded = [m for part, m in sorted(parts.items()) if part >= 0 and m]
+    return _named(parts.get(-1) or none, prefix) | _named(_fold_means(folded, compat), f"{prefix}k-fold-")
+
+
 def complete(matrix: DataFrame, missing: str = "fail") -> DataFrame:
     """The rows without nulls. With missing="fail" a null raises, and says where nulls are; with
     "drop" such rows go, which the caller has to report."""
@@ -210,27 +289,6 @@ def run_regression(table: DataFrame, mode: str, feature_selection: bool,
     return table.sparkSession.createDataFrame(row, schema), selected
 
 
-def sweep(table: DataFrame, counts: tuple[int, ...] = fixed.SWEEP_DOMAIN_COUNTS,
-          modes: tuple[str, ...] = ("baseline-norm", "all-norm"),
-          model_names: tuple[str, ...] = MODELS, compat: bool = False,
-          missing: str = "fail") -> tuple[DataFrame, DataFrame]:
-    """(result rows, how often each feature was selected per mode) over selection off and on,
-    the first n domains, and modes."""
-    runs = [(selection, n, mode) for selection in (False, True) for n in counts for mode in modes]
-
-    def run(setting: tuple[bool, int, str]) -> tuple[DataFrame, list[tuple[str, int, str]]]:
-        selection, n, mode = setting
-        part = features.first_domains(table, n)
-        row, selected = run_regression(part, mode, selection, model_names, compat, missing)
-        return row.withColumn("num_datasets", F.lit(n)), [(mode, n, f) for f in selected]
-
-    done = at_once(table.sparkSession, run, runs, threads=4)
-    selections = table.sparkSession.createDataFrame(
-        [line for _, lines in done for line in lines],
-        "features string, num_datasets int, feature string")
-    return reduce(DataFrame.unionByName, [row for row, _ in done]), selection_counts(selections)
-
-
 def selection_counts(selections: DataFrame) -> DataFrame:
     """How often a feature was selected, per mode."""
     return selections.groupBy("features", "feature").agg(F.count("*").alias("times"))
