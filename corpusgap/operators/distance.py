@@ -1,9 +1,9 @@
 """Distances between corpora for a list of pairs.
 
 Pairs are rows (source, source_split, target, target_split). All pairs are computed together
-from one pinned table of term counts. A term has at most one row per (domain, split), so the
-self-join on the term is bounded by the number of corpora and not by their size, and its rows
-are summed up per pair in the task that makes them.
+from one pinned table of term counts. A term has at most one row per (domain, split); these are
+gathered into one row per term, bounded by the number of corpora and not by their size. Wanted pairs
+are made inside that row and summed up in the task that makes them: there is no join on terms.
 """
 
 from __future__ import annotations
@@ -40,29 +40,63 @@ def _with_groups(pairs: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
     )
 
 
+def _listed(wanted: DataFrame) -> tuple[DataFrame, bool]:
+    """a_gid, partners: the higher numbers that each group is wanted with, in either direction;
+    and whether the pairs were counted to be few."""
+    few_pairs = few_rows(wanted)
+    lower, upper = F.least("s_gid", "t_gid"), F.greatest("s_gid", "t_gid")
+    listed = wanted.where(F.col("s_gid") != F.col("t_gid")).groupBy(lower.alias("a_gid")).agg(
+        F.sort_array(F.collect_set(upper)).alias("partners"))
+    return listed, few_pairs
+
+
+def _pairs_of(sides: DataFrame, gids: Column, listed: DataFrame, few_pairs: bool) -> DataFrame:
+    """sides (sides: an entry per group of a term, ...) -> a_gid, b_gid, sides, at, to and the rest, a row per
+    wanted pair whose groups are both in `gids` (rising), at places `at` and `to`. Pairs that nobody
+    asks for are never made."""
+    rest = [c for c in sides.columns if c != "sides"]
+    first = sides.select("sides", *rest, gids.alias("gids")).select("*", F.posexplode("gids").alias("at", "a_gid")).where(
+        F.col("at") + 1 < F.size("gids"))
+    later = F.slice("gids", F.col("at") + 2, F.size("gids"))
+    made = first.join(small_side(listed, few_pairs), "a_gid").select(
+        "a_gid", "sides", "gids", "at", *rest, F.explode(F.array_intersect(later, "partners")).alias("b_gid"))
+    return made.withColumn("to", (F.array_position("gids", F.col("b_gid")) - 1).cast("int"))
+
+
 def _shared_sums(encoded: DataFrame, wanted: DataFrame, sums: list[Column]) -> DataFrame:
     """Sums over the terms two groups share, for wanted group pairs (s_gid, t_gid).
 
-    Every unordered pair is joined once, as `a` (lower number) and `b`. Sums are aliased
-    a_x / b_x for the two sides or plain for symmetric ones; they come back as s_x / t_x.
+    The groups of a term are gathered in one row, with as many entries as groups have the term;
+    terms of one group go at once. Wanted pairs are made inside that row, as `a` (lower number) and
+    `b`, and summed up in the same task. Sums are aliased a_x / b_x for the two sides or plain for
+    symmetric ones; they come back as s_x / t_x.
     """
     values = [c for c in encoded.columns if c not in ("gid", "term")]
+    listed, few_pairs = _listed(wanted)
+    sides = encoded.groupBy("term").agg(
+        F.sort_array(F.collect_list(F.struct("gid", *values))).alias("sides")).where(F.size("sides") > 1)
+    found = _pairs_of(sides.select("sides"), F.col("sides.gid"), listed, few_pairs)
+    places = [F.get("sides", F.col(place))[c].alias(f"{side}_{c}") for side, place in (("a", "at"), ("b", "to")) for c in values]
+    shared = found.select("a_gid", "b_gid", *places).groupBy("a_gid", "b_gid").agg(*sums)
+    return _both_directions(shared, wanted, few_pairs)
 
-    def renamed(prefix: str) -> DataFrame:
-        return encoded.select("term", F.col("gid").alias(f"{prefix}_gid"),
-                              *[F.col(c).alias(f"{prefix}_{c}") for c in values])
 
-    few_pairs = few_rows(wanted)
-    lower, upper = F.least("s_gid", "t_gid"), F.greatest("s_gid", "t_gid")
-    listed = wanted.where(F.col("s_gid") != F.col("t_gid")).select(
-        lower.alias("a_gid"), upper.alias("b_gid")
-    ).distinct()
-    shared = (
-        renamed("a").join(renamed("b"), "term")
-        .where(F.col("a_gid") < F.col("b_gid"))
-        .join(small_side(listed, few_pairs), ["a_gid", "b_gid"])
-        .groupBy("a_gid", "b_gid").agg(*sums)
-    )
+def _shared_counts(encoded: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted with `shared`, the number of terms that both groups have.
+
+    Terms that the same groups have are counted together before any pair is made, so the work
+    grows with the different sets of groups and not with the vocabulary.
+    """
+    listed, few_pairs = _listed(wanted)
+    signatures = encoded.groupBy("term").agg(F.sort_array(F.collect_list("gid")).alias("sides")).where(
+        F.size("sides") > 1).groupBy("sides").agg(F.count("*").alias("n"))
+    found = _pairs_of(signatures, F.col("sides"), listed, few_pairs)
+    shared = found.groupBy("a_gid", "b_gid").agg(F.sum("n").alias("shared"))
+    return _both_directions(shared, wanted, few_pairs)
+
+
+def _both_directions(shared: DataFrame, wanted: DataFrame, few_pairs: bool) -> DataFrame:
+    """wanted with the sums of its pairs, whichever side has the lower number."""
     names = [c for c in shared.columns if c not in ("a_gid", "b_gid")]
 
     def oriented(source: str, target: str) -> Column:
@@ -84,7 +118,7 @@ def overlap_share(terms: DataFrame, pairs: DataFrame, few: bool, name: str) -> D
     groups = _numbered(terms.groupBy(*GROUP).agg(F.count("*").alias("vocab_size")))
     encoded = terms.join(small_side(groups.select(*GROUP, "gid"), few), GROUP).select("gid", "term")
     wanted = pin(_with_groups(pairs, groups, few))
-    joined = _shared_sums(encoded, wanted, [F.count("*").alias("shared")])
+    joined = _shared_counts(encoded, wanted)
     return joined.select(*PAIR, _overlap(F.col("shared")).alias(name))
 
 
@@ -183,21 +217,33 @@ def global_distribution(terms: DataFrame, pairs: DataFrame, few: bool) -> DataFr
     """Both distributions of every pair over the union of terms, as rows (pair, term, p, q).
 
     This is the long form, with a row for every pair and term: use it to look at a few pairs.
-    The distances do not need it.
+    The distances do not need it. The groups of a term are gathered in one row, and the pairs are
+    made inside it: only the vocabulary is shuffled, not its product with the pairs.
     """
     p = term_probability(terms, few).select(*GROUP, "term", "p")
     pairs = pin(pairs.select(*PAIR).distinct())
     few_pairs = few_rows(pairs)
-    source = p.select(F.col("domain").alias("source"), F.col("split").alias("source_split"),
-                      "term", "p")
-    target = p.select(F.col("domain").alias("target"), F.col("split").alias("target_split"),
-                      "term", F.col("p").alias("q"))
-    left = source.join(small_side(pairs, few_pairs), ["source", "source_split"])
-    right = target.join(small_side(pairs, few_pairs), ["target", "target_split"])
+    name = lambda side: F.struct(F.col(side).alias("domain"), F.col(f"{side}_split").alias("split"))
+    sides = p.groupBy("term").agg(F.collect_list(F.struct(F.struct(*GROUP).alias("group"), "p")).alias("sides"))
+    own = sides.select("term", "sides", F.explode("sides").alias("own")).select("term", "sides", "own.*")
     fill = F.lit(EPSILON)
-    return left.join(right, [*PAIR, "term"], "full_outer").select(
-        *PAIR, "term", F.coalesce("p", fill).alias("p"), F.coalesce("q", fill).alias("q")
-    )
+
+    def other_p(other: Column) -> Column:
+        return F.get(F.filter("sides", lambda x: x["group"] == other), F.lit(0))["p"]
+
+    def from_side(side: str, other: str) -> DataFrame:
+        partners = pairs.groupBy(name(side).alias("group")).agg(F.collect_set(name(other)).alias("others"))
+        found = own.join(small_side(partners, few_pairs), "group").select(
+            "group", "term", "sides", F.col("p").alias("own_p"), F.explode("others").alias("other"))
+        return found.withColumn("other_p", other_p(F.col("other")))
+
+    left = from_side("source", "target").select(
+        F.col("group").alias("s"), F.col("other").alias("t"), "term", F.col("own_p").alias("p"), F.coalesce("other_p", fill).alias("q"))
+    right = from_side("target", "source").where("other_p is null").select(
+        F.col("other").alias("s"), F.col("group").alias("t"), "term", fill.alias("p"), F.col("own_p").alias("q"))
+    return left.unionByName(right).select(
+        F.col("s.domain").alias("source"), F.col("s.split").alias("source_split"),
+        F.col("t.domain").alias("target"), F.col("t.split").alias("target_split"), "term", "p", "q")
 
 
 def contextual_overlap(vectors: DataFrame, pairs: DataFrame, few: bool) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusgap.functions.fixed_values import ENGLISH_STOP_WORDS, EPSILON
 from corpusgap.operators import distance, profile, tfidf
+from corpusgap.runtime import pin
 
 TEXTS = [
     ("a", "test", 1, "cat dog bird"), ("a", "test", 2, "cat cat dog"),
@@ -142,3 +143,44 @@ def test_no_python_and_no_cartesian_product_on_the_token_path(spark, corpus):
     for df in frames:
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_are_made_without_a_join_on_terms(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"d{i}", "test", f"t{int(x)}", int(rng.integers(1, 9))) for i in range(9) for x in set(rng.geometric(0.05, 60))]
+    terms = pin(spark.createDataFrame(rows, "domain string, split string, term string, n long"))
+    asked = [("d0", "d1"), ("d1", "d0"), ("d3", "d3"), ("d8", "d2"), ("d4", "none")]
+    wanted = spark.createDataFrame([(a, "test", b, "test") for a, b in asked], distance.PAIR)
+    sets, counts = {}, {}
+    for d, _, t, n in rows:
+        sets.setdefault(d, set()).add(t)
+        counts.setdefault(d, {})[t] = n
+    shares = distance.overlap_share(terms, wanted, True, "share")
+    got = {(r["source"], r["target"]): r["share"] for r in shares.collect()}
+    assert set(got) == set(asked)
+    for (a, b), share in got.items():
+        assert share == pytest.approx(100 * len(sets[a] & sets.get(b, set())) / len(sets[b]) if b in sets else 0)
+    found = distance.distribution_distances(terms, wanted, True)
+    for df in (shares, found):
+        joins = [line for line in plan_of(df).splitlines() if "Join" in line]
+        assert joins and not any("term" in line for line in joins)
+    for r in found.collect():
+        if r["target"] == "none":
+            assert r["kl-divergence"] is None
+            continue
+        p, q = ({t: n / sum(counts[x].values()) for t, n in counts[x].items()} for x in (r["source"], r["target"]))
+        union = sorted({*p, *q})
+        eps = 2.220446049250313e-16
+        kl = sum(p.get(t, eps) * math.log(p.get(t, eps) / q.get(t, eps)) - p.get(t, eps) + q.get(t, eps) for t in union)
+        assert r["kl-divergence"] == pytest.approx(kl, abs=1e-9)
+    long = distance.global_distribution(terms, wanted, True).collect()
+    for a, b in asked:
+        own = {r["term"]: (r["p"], r["q"]) for r in long if (r["source"], r["target"]) == (a, b)}
+        assert set(own) == sets[a] | sets.get(b, set())
+        for t, (x, y) in own.items():
+            assert x == pytest.approx(counts[a].get(t, 0) / sum(counts[a].values()), abs=1e-12)
+            assert y == pytest.approx(counts[b].get(t, 0) / sum(counts[b].values()) if b in counts else 0, abs=1e-12)
