@@ -24,17 +24,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusgap.llm.common import WORD, Scratch, ascii_lower, checked_broadcast, few, packed, words
+from corpusgap.llm.common import Scratch, ascii_lower, checked_broadcast, few, packed, words
 
 SIZE, LISTS = 10, 2
 MAX_TERMS = 500_000
 MAX_HIT_DOCS = 1_000_000  # rows of two numbers
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 KEY = ["doc_id", "row_hash"]
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD_ANY_CASE)), F.lit(0)).cast("bigint")
+    return F.size(words(text, BETWEEN_ANY_CASE)).cast("bigint")
 
 
 def windows_of(items: DataFrame, size: int = SIZE) -> DataFrame:

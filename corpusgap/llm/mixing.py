@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusgap.llm.common import NON_BLANK, Scratch, packed
+from corpusgap.llm.common import BLANKS, Scratch, packed, words
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET, CAP = 1.5, 2.0
@@ -38,7 +38,7 @@ STEPS = 80
 
 
 def size_of(text) -> F.Column:
-    return F.coalesce(F.regexp_count(text, F.lit(NON_BLANK)), F.lit(0)).cast("bigint")
+    return F.size(words(text, BLANKS)).cast("bigint")
 
 
 def targets(sizes: list[float], weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> list[float]:

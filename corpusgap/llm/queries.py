@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgap.llm import chat, decontamination, jaccard_join, language, licenses, line_dedup, mixing, periodic, quality, suffix_model, token_shards, toxicity, whitening
-from corpusgap.llm.common import NON_BLANK, table, words
+from corpusgap.llm.common import BLANKS, table, words
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_repeats(docs: DataFrame) -> DataFrame:
     """doc_id and text, in which the end of every tenth text (by a hash of its id) repeats with a period."""
     h = F.crc32(F.col("doc_id").cast("string"))
-    own = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words(F.col("text"), NON_BLANK)).alias("w"))
+    own = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words(F.col("text"), BLANKS)).alias("w"))
     n = F.size("w")
     cut = own.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", F.lit(1) + F.floor((n - F.col("a")) / (F.col("g") % 8 + 3)))
     place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))

@@ -145,6 +145,18 @@ def test_decontamination_edges(spark):
     assert decontamination.decontaminate(same.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_a_very_long_text_with_shuffled_joins(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "MAX_TERMS", 0)
+    monkeypatch.setattr(decontamination, "MAX_HIT_DOCS", 0)
+    items = [(1, words(25, 7)), (2, "lone item")]
+    texts = [words(150_000), words(30, 5), "a Lone  ITEM b"]
+    docs = docs_of(spark, texts)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontamination.decontaminate(docs, bench).collect()}
+    assert got == {0: (150_000, 25, 1), 1: (30, 25, 1), 2: (4, 2, 1)}
+    assert decontamination.keep_clean(docs, bench).count() == 0
+
+
 def test_proximity(spark):
     docs = docs_of(spark, ["alpha beta gamma", "alpha x beta y gamma", "alpha x x x x x beta gamma", "gamma beta"])
     phrases = spark.createDataFrame([("alpha beta gamma",)], "phrase string")
