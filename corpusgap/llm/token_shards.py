@@ -1,17 +1,21 @@
 """Token-ID output in training order: every sequence gets a global slot by a keyed permutation.
 
 Texts are tokenized whole and cut into sequences of `length` token ids; the last one of a text is padded,
-its true length is kept. Sequences are numbered 0 .. N-1 (by task of the reading, then by row), and a keyed Feistel network on the smallest even number of bits that holds N, with cycle walking for values of
-N and above, maps numbers to slots: a bijection that needs no sort and no state. A shard holds `per_shard`
-consecutive slots with a fixed stride, so the byte offset of a slot follows from its number, and reading
-can resume at any slot. Each partition takes one range of slots, a shard, in slot order.
+its true length is kept. Sequences are numbered 0 .. N-1 in the order of a hash of the document's id and
+text, and a keyed Feistel network on the smallest even number of bits that holds N, with cycle walking for
+values of N and above, maps numbers to slots: a bijection that needs no sort and no state. A shard holds
+`per_shard` consecutive slots with a fixed stride, so the byte offset of a slot follows from its number, and
+reading can resume at any slot. Each partition takes one range of slots, a shard, in slot order.
 
-The permutation is a function of (key, N) alone, and numbers follow the files as they are read, so a rerun
-over the same files with the same split size gives the same shards.
+Numbers follow from the rows alone, not from files, splits or tasks: the hashes fall into PARTS ranges, whose
+sizes are summed up in one small window, and each range is numbered by itself. So the same documents with
+the same key and settings give the same shards on any cluster. `write_shards` writes them with a manifest (N,
+key, settings, and a count and checksum of each shard); `resume` reads on from any slot and skips earlier shards.
 
 Cases: null and empty texts have no tokens and make no sequence; equal documents make equal sequences in
-slots of their own; a null id is kept; an empty table gives an empty table; other columns are ignored.
-Only the counts of tasks, a row each, are summed in one window; no group depends on a source or an id.
+slots of their own; a null id is kept, and ids never pass through Python numbers; an empty table gives an empty
+table; other columns are ignored. A very long text is one row's work: its ids take two bytes each.
+Executors need `tiktoken` and the vocabulary file (`path`, or that of `public_tokenizers`).
 """
 
 from __future__ import annotations
@@ -21,18 +25,17 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusgap.llm.common import Scratch, checked_broadcast
+from corpusgap.llm.common import Scratch
 
 LENGTH, PER_SHARD = 256, 4096
 ID_BYTES = 2  # little-endian; vocabularies up to 65,536 ids
 END = 50_256  # the id that ends a text
-MAX_TASKS = 1_000_000  # rows of two numbers that are broadcast at most
+PARTS = 4096  # ranges of hashes that are numbered one by one
 ROUNDS = 6
 KEY = 0x5EED
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -41,10 +44,11 @@ TOKENIZER = "byte_bpe_50k.tiktoken"
 # Before a blank between two other characters every piece of the tokenizer's pattern ends, so what
 # lies between such places is encoded on its own, and remembered.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 class Chunks(dict):
-    """Encoded chunks of texts; a bounded memory, emptied when full."""
+    """Ids of a blank and the characters up to the next one; a bounded memory, emptied when full."""
 
     MOST, LONGEST = 300_000, 40
 
@@ -57,35 +61,45 @@ class Chunks(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def __missing__(self, chunk: str) -> bytes:
-        coded = np.array(self.coder.encode_ordinary(chunk), "<u2").tobytes()
-        if len(chunk) <= self.LONGEST:
+    def plain(self, chunk: str) -> bytes:
+        return np.array(self.coder.encode_ordinary(chunk), "<u2").tobytes()
+
+    def __missing__(self, rest: str) -> bytes:
+        coded = self.plain(" " + rest)
+        if len(rest) <= self.LONGEST:
             if len(self) >= self.MOST:
                 self.clear()
-            self[chunk] = coded
+            self[rest] = coded
         return coded
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _CUT.split(text)))
+        if _OTHER_SPACE.search(text) or "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
+            first, *others = _CUT.split(text)  # some blanks stand beside white space
+            return self.plain(first) + b"".join([self[x[1:]] for x in others])
+        first, *others = text.split(" ")
+        return self.plain(first) + b"".join(map(self.__getitem__, others))
 
 
 def tokenized(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, task, first (sequence of the document in its task), n_seqs, ids
-    (binary); the ids of each text end with END."""
+    """docs (doc_id, text) -> doc_id, place (a hash of id and text), text_hash, n_tokens, ids (binary): the ids of each
+    text end with END and are padded with it to whole sequences."""
+    stride = length * ID_BYTES
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunks, end, before = Chunks(path), np.array([END], "<u2").tobytes(), 0
-        task = TaskContext.get().partitionId()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, end = Chunks(path), np.array([END], "<u2").tobytes()
+        padding = end * length
         for batch in batches:
-            coded = [chunks.encode(t) + end for t in batch["text"]]
-            n = np.array([-(-len(c) // (ID_BYTES * length)) for c in coded], np.int64)
-            first = before + np.cumsum(n) - n
-            before += int(n.sum())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "task": task, "first": first, "n_seqs": n, "ids": coded})
+            coded = [chunks.encode(t) for t in batch.column("text").to_pylist()]
+            n = [len(c) // ID_BYTES + 1 for c in coded]
+            ids = pa.array([c + padding[:(-len(c) - 1) % stride + 1] for c in coded], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("place"), batch.column("text_hash"), pa.array(n, pa.int64()), ids],
+                names=["doc_id", "place", "text_hash", "n_tokens", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    some = docs.select("doc_id", "text").where(F.length("text") > 0)
-    return some.mapInPandas(run, f"doc_id {kind}, task int, first long, n_seqs long, ids binary")
+    some = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("place"), F.xxhash64("text").alias("text_hash"), "text")
+    return some.where(F.length("text") > 0).mapInArrow(
+        run, f"doc_id {kind}, place long, text_hash long, n_tokens long, ids binary")
 
 
 def slots(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -107,12 +121,8 @@ def slots(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def numbered(coded: DataFrame) -> DataFrame:
-    """`first` counted over all tasks, in their order."""
-    sizes = coded.groupBy("task").agg(F.sum("n_seqs").alias("in_task"))
-    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("task", F.coalesce(F.sum("in_task").over(before), F.lit(0)).alias("offset"))  # a row per task
-    return coded.join(checked_broadcast(offsets, MAX_TASKS), "task").withColumn("first", F.col("first") + F.col("offset"))
+def _part():
+    return F.shiftrightunsigned("place", 52).cast("int")  # the upper bits: 0 .. PARTS - 1
 
 
 def write_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY,
@@ -123,26 +133,46 @@ def write_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHAR
     its slots in order, and slot s starts at byte (s % per_shard) * length * ID_BYTES of it.
     """
     scratch = Scratch(docs.sparkSession, "tokens")
-    coded = scratch.put(tokenized(docs, length, path))
-    n = coded.agg(F.sum("n_seqs")).first()[0] or 0
     stride = length * ID_BYTES
+    n_seqs = (F.octet_length("ids") / stride).cast("long")
+    coded = scratch.put(tokenized(docs, length, path).withColumn("range", _part()), codec="lz4")
+    sizes = coded.groupBy("range").agg(F.sum(n_seqs).alias("n")).collect()  # a row per range
+    before = np.zeros(PARTS + 1, np.int64)
+    for r in sizes:
+        before[r["range"] + 1] = r["n"]
+    before = np.cumsum(before)
+    n = int(before[-1])
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        padding = np.full(length, END, "<u2").tobytes()
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used = -1, 0  # the range that is being numbered, its sequences so far
         for batch in batches:
-            counts = batch["n_seqs"].to_numpy()
-            row = np.repeat(np.arange(len(batch)), counts)
-            part = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            ids = batch["ids"].tolist()
-            cut = [ids[r][p * stride:(p + 1) * stride] for r, p in zip(row.tolist(), part.tolist())]
-            yield pd.DataFrame({
-                "slot": slots(batch["first"].to_numpy()[row] + part, n, key),
-                "doc_id": batch["doc_id"].to_numpy()[row], "part": part,
-                "n_tokens": [len(c) // ID_BYTES for c in cut], "payload": [c + padding[len(c):] for c in cut],
-            })
-
-    placed = numbered(coded).select("doc_id", "n_seqs", "first", "ids").mapInPandas(
+            if not batch.num_rows:
+                continue
+            ids = batch.column("ids")
+            bounds = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset:ids.offset + len(ids) + 1].astype(np.int64)
+            counts = np.diff(bounds) // stride
+            ranges = batch.column("range").to_numpy()
+            first = np.cumsum(counts) - counts
+            fresh = np.flatnonzero(np.diff(ranges, prepend=-1 if ranges[0] != now else now))
+            base = np.zeros(len(counts), np.int64)  # number of a row's first sequence
+            starts = [0, *fresh[fresh > 0].tolist()]
+            for a, b in zip(starts, [*starts[1:], len(counts)]):
+                if ranges[a] != now:
+                    now, used = int(ranges[a]), 0
+                base[a:b] = before[now] + used + first[a:b] - first[a]
+                used += int(counts[a:b].sum())
+            row = np.repeat(np.arange(len(counts)), counts)
+            part = np.arange(len(row)) - first[row]
+            left = batch.column("n_tokens").to_numpy()[row] - part * length
+            cuts = pa.py_buffer((bounds[0] + np.arange(len(row) + 1) * stride).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slots(base[row] + part, n, key)), batch.column("doc_id").take(pa.array(row)), pa.array(part),
+                 pa.array(np.minimum(left, length)), pa.Array.from_buffers(pa.binary(), len(row), [None, cuts, ids.buffers()[2]])],
+                names=["slot", "doc_id", "part", "n_tokens", "payload"])
+
+    ordered = coded.repartition("range").sortWithinPartitions("range", "place", "text_hash", "doc_id")
+    placed = ordered.select("range", "doc_id", "n_tokens", "ids").mapInArrow(
         place, f"slot long, doc_id {kind}, part long, n_tokens long, payload binary")
     shard = F.floor(F.col("slot") / per_shard).cast("int")
     dealt = placed.withColumn("shard", shard).withColumn("byte_offset", (F.col("slot") % per_shard) * stride)
@@ -156,3 +186,35 @@ def write_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHAR
 def read_from(shards: DataFrame, slot: int) -> DataFrame:
     """What is left to read from a slot on, in order: earlier shards are skipped."""
     return shards.where(F.col("slot") >= slot).orderBy("slot")
+
+
+def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY,
+                 path: str | None = None) -> DataFrame:
+    """Write the order below `folder`: `shards`, a folder per shard, and last `manifest`; the manifest's rows.
+
+    manifest: shard, first_slot, n (slots), checksum (of slots and payloads), total, key, length, per_shard.
+    """
+    write_order(docs, length, per_shard, key, path).write.partitionBy("shard").parquet(f"{folder}/shards")
+    written = docs.sparkSession.read.parquet(f"{folder}/shards")
+    found = _summary(written).withColumn("total", F.sum("n").over(Window.partitionBy()))  # a row per shard
+    found.withColumns({"key": F.lit(key).cast("long"), "length": F.lit(length), "per_shard": F.lit(per_shard)}).coalesce(1).write.parquet(
+        f"{folder}/manifest")
+    return docs.sparkSession.read.parquet(f"{folder}/manifest")
+
+
+def _summary(written: DataFrame) -> DataFrame:
+    return written.groupBy("shard").agg(F.min("slot").alias("first_slot"), F.count("*").alias("n"),
+                                        F.bit_xor(F.xxhash64("slot", "payload")).alias("checksum"))
+
+
+def damaged(spark, folder: str) -> DataFrame:
+    """The shards whose files do not agree with the manifest; none if all is well."""
+    told = spark.read.parquet(f"{folder}/manifest").select("shard", "first_slot", "n", "checksum")
+    return told.exceptAll(_summary(spark.read.parquet(f"{folder}/shards")).select(*told.columns)).select("shard")
+
+
+def resume(spark, folder: str, slot: int) -> DataFrame:
+    """The written sequences from a slot on, in order; files of earlier shards are not opened."""
+    per_shard = spark.read.parquet(f"{folder}/manifest").select("per_shard").first()
+    shards = spark.read.parquet(f"{folder}/shards")
+    return read_from(shards.where(F.col("shard") >= (slot // per_shard[0] if per_shard else 0)), slot)

@@ -251,6 +251,39 @@ def test_tokens_round_trip(spark):
     assert token_shards.write_order(docs.limit(0)).count() == 0
 
 
+def test_slots_follow_from_the_rows_alone(spark, tmp_path):
+    """Other files, splits, orders and partitions, the same slots."""
+    texts = [words(5 + i % 37, i) for i in range(300)] + [words(20)] * 5
+    docs = docs_of(spark, texts, doc_id=[None, 2**60 + 1, *range(2, 305)])
+    want = None
+    for i, (files, split) in enumerate([(1, "128m"), (7, "8k"), (3, "20k")]):
+        docs.repartition(files, F.rand(i)).write.parquet(f"{tmp_path}/{i}")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            read = spark.read.parquet(f"{tmp_path}/{i}")
+            rows = token_shards.write_order(read, length=16, per_shard=32).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        got = {r["slot"]: (r["doc_id"], r["part"], r["n_tokens"], bytes(r["payload"])) for r in rows}
+        want = want or got
+        assert got == want and sorted(got) == list(range(len(rows)))
+    assert {None, 2**60 + 1} <= {v[0] for v in want.values()}
+
+
+def test_written_shards(spark, tmp_path):
+    docs = docs_of(spark, [words(40, i) for i in range(60)])
+    folder = f"{tmp_path}/out"
+    manifest = token_shards.write_shards(docs, folder, length=16, per_shard=50).collect()
+    total = sum(r["n"] for r in manifest)
+    assert {r["total"] for r in manifest} == {total} and [r["first_slot"] for r in sorted(manifest)] == list(range(0, total, 50))
+    assert token_shards.damaged(spark, folder).count() == 0
+    left = [r["slot"] for r in token_shards.resume(spark, folder, 77).collect()]
+    assert left == list(range(77, total))
+    spark.read.parquet(f"{folder}/shards").where("slot <> 60").write.partitionBy("shard").parquet(f"{tmp_path}/bad/shards")
+    spark.read.parquet(f"{folder}/manifest").write.parquet(f"{tmp_path}/bad/manifest")
+    assert [r["shard"] for r in token_shards.damaged(spark, f"{tmp_path}/bad").collect()] == [1]
+
+
 # 7 join
 
 def shingle_set(text):
