@@ -7,7 +7,8 @@ is recorded with its turn, place, reference and the tokens that it expands to.
     <|im_start|>ROLE\\nCONTENT<|im_end|>\\n
 
 Inside texts a backslash is doubled and `<|` becomes `<\\|`, so no control string can come out of a
-text and `unescaped` restores it exactly. Roles escape `%`, `<` and line breaks as `%25 %3C %0A`.
+text and `unescaped` restores it exactly. Neighbouring text parts are joined before they are escaped, so
+none can come out of several parts either. Roles escape `%`, `<` and line breaks as `%25 %3C %0A`.
 The loss mask is a list of spans (turn, start, length) inside the turn's block of the string.
 
 Cases: null text or parts are empty content, a null role is the empty role, an unknown part type
@@ -63,14 +64,25 @@ def expanded_tokens(part: Column) -> Column:
     )
 
 
-def _visit(part: Column, place: Column) -> Column:
-    """What one part leaves in the content."""
-    attachment = F.concat(F.lit("<|"), part["type"], F.lit("_"), place.cast("string"), F.lit("|>"))
-    return (
-        F.when(part["type"] == "text", escaped(F.coalesce(part["text"], F.lit(""))))
-        .when(part["type"].isin("image", "audio", "document"), attachment)
-        .otherwise(F.raise_error(F.concat(F.lit("unknown content part: "), F.coalesce(part["type"], F.lit("null")))))
-    )
+def _placeholder(part: Column, place: Column) -> Column:
+    """What an attachment leaves in the content."""
+    mark = F.concat(F.lit("<|"), part["type"], F.lit("_"), place.cast("string"), F.lit("|>"))
+    return F.when(part["type"].isin("image", "audio", "document"), mark).otherwise(
+        F.raise_error(F.concat(F.lit("unknown content part: "), F.coalesce(part["type"], F.lit("null")))))
+
+
+def _content(parts: Column) -> Column:
+    """All parts in order: each run of text parts escaped as one text, attachments as placeholders."""
+    placed = F.transform(parts, lambda p, i: F.struct(p.alias("part"), i.alias("place")))
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("run"))
+
+    def visit(now: Column, x: Column) -> Column:
+        part = x["part"]
+        text = F.struct(now["done"].alias("done"), F.concat(now["run"], F.coalesce(part["text"], F.lit(""))).alias("run"))
+        other = F.struct(F.concat(now["done"], escaped(now["run"]), _placeholder(part, x["place"])).alias("done"), F.lit("").alias("run"))
+        return F.when(part["type"] == "text", text).otherwise(other)
+
+    return F.aggregate(placed, start, visit, lambda last: F.concat(last["done"], escaped(last["run"])))
 
 
 def text_parts(text: Column) -> Column:
@@ -90,7 +102,7 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
     parts = F.coalesce(F.col("parts"), F.array().cast(PART_TYPE))
     flat = turns.select(
         "conv_id", "turn", "role",
-        F.array_join(F.transform(parts, lambda p, i: _visit(p, i)), "").alias("content"),
+        _content(parts).alias("content"),
         F.filter(
             F.transform(parts, lambda p, i: F.struct(
                 i.alias("place"), p["type"].alias("type"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens"))),
