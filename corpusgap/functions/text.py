@@ -7,17 +7,27 @@ from pyspark.sql import functions as F
 
 from corpusgap.functions import fixed_values as fixed
 
-# A run of letters, digits and underscores, or one mark.
-WORD_OR_MARK = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
-# A run of at least two letters, digits or underscores.
-LONG_WORD = r"[\p{L}\p{N}_]{2,}"
+# The characters of words: letters, digits and underscores.
+WORD_CHARACTERS = r"\p{L}\p{N}_"
 # The white space that counts at the ends of a text and between words.
 BLANKS = " \t\n\r\f\x0b"
 
 
-def tokens(text: Column, pattern: str = WORD_OR_MARK) -> Column:
-    """Lower-case tokens of a text, in order, as array<string>. A null text has none."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
+def tokens(text: Column, letters: str = WORD_CHARACTERS) -> Column:
+    """Lower-case tokens of a text, in order, as array<string>: runs of word characters, and single
+    marks. A null text has none.
+
+    Marks are set apart by blanks and the text is split at white space, which takes time in
+    proportion to the text. (Extracting all matches copies the text at each match.)
+    """
+    apart = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"([^\s{letters}])", " $1 ")
+    return F.array_remove(F.split(apart, r"\s+"), "")
+
+
+def long_words(text: Column, letters: str = WORD_CHARACTERS) -> Column:
+    """Lower-case runs of at least two word characters, in order. A null text has none."""
+    runs = F.split(F.lower(F.coalesce(text, F.lit(""))), rf"[^{letters}]+")
+    return F.filter(runs, lambda word: F.length(word) > 1)
 
 
 def is_term(token: Column, stop_words=fixed.ENGLISH_STOP_WORDS, marks=fixed.SPECIAL_TOKENS):

@@ -23,7 +23,7 @@ def document_terms(corpus: DataFrame, stop_words=fixed.ENGLISH_STOP_WORDS) -> Da
     counting needs no shuffle.
     """
     words = corpus.select(
-        *GROUP, "doc_id", F.sort_array(tx.tokens(F.col("text"), tx.LONG_WORD)).alias("words")
+        *GROUP, "doc_id", F.sort_array(tx.long_words(F.col("text"))).alias("words")
     ).where(F.size("words") > 0)
     starts = F.filter(
         F.sequence(F.lit(0), F.size("words") - 1),
@@ -44,25 +44,48 @@ def document_terms(corpus: DataFrame, stop_words=fixed.ENGLISH_STOP_WORDS) -> Da
     )
 
 
+# So many (domain, split, term) rows count as heavy at most, and so many bytes of them are broadcast.
+MOST_HEAVY = 100_000
+MAX_HEAVY_BYTES = 64 << 20
+
+
+def heavy_limit(rows: int, most: int = MOST_HEAVY) -> int:
+    """The document frequency from which a term is heavy: no more than `most` terms can reach it."""
+    return max(2, -(-rows // max(most, 1)))
+
+
+def with_idf(pairs: DataFrame, idf: DataFrame, limit: int) -> DataFrame:
+    """pairs (domain, split, term, ...) with _idf. Terms in `limit` documents or more are looked up in
+    a broadcast table, whose size is counted; only the others are shuffled, so no key of the long
+    join has more than `limit` rows. A table too large to broadcast is joined by shuffle."""
+    key = [*GROUP, "term"]
+    heavy, light = idf.where(F.col("_df") >= limit).drop("_df"), idf.where(F.col("_df") < limit).drop("_df")
+    size = heavy.agg(F.sum(F.octet_length("term") + F.octet_length("domain") + F.octet_length("split") + 64)).first()[0] or 0
+    if size > MAX_HEAVY_BYTES:
+        return pairs.join(idf.drop("_df"), key)
+    looked_up = pairs.join(F.broadcast(heavy), key)
+    rest = pairs.join(F.broadcast(heavy.select(*key)), key, "left_anti")
+    return looked_up.unionByName(rest.join(light, key))
+
+
 def document_weights(corpus: DataFrame, groups_are_few: bool,
                      stop_words=fixed.ENGLISH_STOP_WORDS) -> DataFrame:
     """(domain, split, doc_id, term, tf, weight) with rows of unit length per document.
 
-    Counts are stored once and read twice, for the document frequencies and for the weights.
-    The join on (domain, split, term) has one long side; a term found in very many documents
-    makes a skewed partition that adaptive execution splits. The norm is a window over one
-    document, whose terms came from one input row.
+    Counts are stored once and read twice, for the document frequencies and for the weights. Only
+    terms of few documents take part in the long join. The norm is a window over one document,
+    whose terms came from one input row.
     """
     pairs = pin(document_terms(corpus, stop_words))
     sizes = small_side(corpus.groupBy(*GROUP).agg(F.count("*").alias("_docs")), groups_are_few)
-    idf = (
+    idf = pin(
         pairs.groupBy(*GROUP, "term").agg(F.count("*").alias("_df"))
         .join(sizes, GROUP)
-        .select(*GROUP, "term",
+        .select(*GROUP, "term", "_df",
                 (F.ln((F.col("_docs") + 1) / (F.col("_df") + 1)) + 1).alias("_idf"))
     )
     document = Window.partitionBy(*GROUP, "doc_id")
-    raw = pairs.join(idf, [*GROUP, "term"]).withColumn("_raw", F.col("tf") * F.col("_idf"))
+    raw = with_idf(pairs, idf, heavy_limit(pairs.count())).withColumn("_raw", F.col("tf") * F.col("_idf"))
     return raw.select(
         *GROUP, "doc_id", "term", "tf",
         (F.col("_raw") / F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(document)))

@@ -184,3 +184,37 @@ def test_pairs_are_made_without_a_join_on_terms(spark):
         for t, (x, y) in own.items():
             assert x == pytest.approx(counts[a].get(t, 0) / sum(counts[a].values()), abs=1e-12)
             assert y == pytest.approx(counts[b].get(t, 0) / sum(counts[b].values()) if b in counts else 0, abs=1e-12)
+
+
+def test_heavy_terms_are_looked_up_and_not_shuffled(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [" ".join(f"w{min(int(x), 400)}x" for x in rng.zipf(1.3, 80)) for _ in range(60)]
+    corpus = pin(spark.createDataFrame([("a" if i % 3 else "b", "test", i, t) for i, t in enumerate(words)],
+                                       "domain string, split string, doc_id long, text string"))
+    want = {(r["doc_id"], r["term"]): r["weight"] for r in tfidf.document_weights(corpus, True, []).collect()}
+    for name, value in (("MOST_HEAVY", 10), ("MOST_HEAVY", 1), ("MAX_HEAVY_BYTES", 0)):
+        with monkeypatch.context() as m:
+            m.setattr(tfidf, name, value)
+            m.setattr(tfidf, "heavy_limit", lambda rows, most=tfidf.MOST_HEAVY: max(2, -(-rows // most)))
+            got = {(r["doc_id"], r["term"]): r["weight"] for r in tfidf.document_weights(corpus, True, []).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-12) for k, v in want.items())
+    pairs = pin(tfidf.document_terms(corpus, []))
+    idf = pin(pairs.groupBy("domain", "split", "term").agg(F.count("*").alias("_df")).withColumn("_idf", F.lit(1.0)))
+    most = 100
+    limit = tfidf.heavy_limit(pairs.count(), most)
+    assert 0 < idf.where(F.col("_df") >= limit).count() <= most
+    joined = tfidf.with_idf(pairs, idf, limit)
+    assert joined.count() == pairs.count()
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2 and plan.count("Join") == 3
+
+
+def test_tokens_of_odd_texts(spark):
+    from corpusgap.functions import text as tx
+
+    texts = ["𝒜b 𝒜😀b😀😀 c", "a\u00a0b\u2003c\u0085d", "", None, "x_y-z..  \n\tq$1\\2", "İ é É ß K", " a bc ", "😀", "a\x1cb\x0bcc"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = df.select(tx.tokens(F.col("text")).alias("t"), tx.long_words(F.col("text")).alias("w")).collect()
+    every = df.select(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"), F.lit(0)).alias("t"),
+                      F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)).alias("w")).collect()
+    assert got == every and got[0]["t"] == ["𝒜b", "𝒜", "😀", "b", "😀", "😀", "c"]
