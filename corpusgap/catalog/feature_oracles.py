@@ -358,8 +358,33 @@ counts as (select unnest([10, 11, 12, 13, 14])::int as n)"""
 NO_DROP = """avg(power(v, 2)) as mse, avg(abs(v)) as mae, sqrt(avg(power(v, 2))) as rmse,
          1 - avg(power(v, 2)) / var_pop(v) as r2"""
 
+NATION = """nations as (
+  select n_nationkey, n_regionkey, length(n_name) as name_length, n_nationkey % 4 as quarters,
+         n_nationkey % 3 as thirds, n_nationkey % 7 as sevenths, n_nationkey * n_nationkey % 11 as label from nation)"""
+NATION_COLUMNS = ["n_nationkey", "n_regionkey", "name_length", "quarters", "thirds", "sevenths"]
+TUNED_ONLY = FEATURES.replace("where not (t = 1 and", "where not (t = 0 and ds = 'src5') and not (t = 1 and")
+
 FEATURE_SQL = {
     **DESIGN_MATRICES,
+    "score_duplicates": f"""
+with {SCORE_PAIRS}, {joined(False)}
+select da_type, source, target, ft, round(source_rouge1 / 2, 6) as source_rouge1,
+       round(target_bert_f1 / 2, 6) as target_bert_f1, target_is_missing from joined""",
+    "pair_features_first_domains": f"""{feature_table(False)},
+first as (select distinct source as domain from documents order by 1 limit 8)
+select {KEYS}, {rounds(NUMBERS)} from features
+where not ft and source in (select domain from first) and target in (select domain from first)""",
+    "training_corpus_tuned_only": f"""{TUNED_ONLY}
+select {KEYS}, {rounds(NUMBERS)} from features where ft or (source <> 'src5' and target <> 'src5')""",
+    "f_regression_edges": f"""
+select 'constant' as feature, false as perfect, 0.0::double as f_score
+union all select 'copy', true, null
+union all select 'l_discount', false, round({f_score('l_discount', 'l_extendedprice')}, 3) from lineitem
+union all select 'with_nulls', false, round({f_score('l_quantity', 'l_extendedprice')}, 3) from lineitem where l_linenumber > 1""",
+    "selection_default_k": f"""
+with {NATION}, found as (
+  {" union all ".join(f"select {i} as pos, '{c}' as feature, {f_score(c, 'label')} as f from nations" for i, c in enumerate(NATION_COLUMNS))})
+select feature from found order by f desc, pos limit 3""",
     "sweep_linear": SWEEP_LINEAR,
     "domain_pairs": f"with {o.PAIRS} select * from pairs",
     "pair_resolution": f"with {o.PAIRS}, {RESOLVED_SCORES} select * from resolved_scores",

@@ -49,6 +49,15 @@ def score_missing(spark: SparkSession, sf: str) -> DataFrame:
         "source_rouge1", "target_fs_grounded"))
 
 
+def score_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Of two score rows of each key, the first by the order of the sheet counts."""
+    sheet = derive.scores(spark, sf)
+    halves = sheet.withColumns({m: F.col(m) / 2 for m in fixed.METRICS}).withColumn("line", F.lit(1))
+    both = sheet.withColumn("line", F.lit(2)).unionByName(halves)
+    found = pairs.attach_scores(pair_resolution(spark, sf), both, order="line")
+    return rounded_all(found.select("da_type", "source", "target", "ft", "source_rouge1", "target_bert_f1", "target_is_missing"))
+
+
 def score_slices(spark: SparkSession, sf: str) -> DataFrame:
     scores = derive.scores(spark, sf)
     zero = plan.zero_shot_scores(scores).withColumn("slice", F.lit("zero-shot"))
@@ -89,6 +98,20 @@ def pair_features_compat(spark: SparkSession, sf: str) -> DataFrame:
         derive.scores(spark, sf), compat=True))
 
 
+def pair_features_first_domains(spark: SparkSession, sf: str) -> DataFrame:
+    """Zero-shot feature rows of the pairs of the first eight domains."""
+    return rounded_all(plan.pair_features(
+        derive.corpus(spark, sf), derive.vectors(spark, sf), derive.parse_tokens(spark, sf),
+        derive.scores(spark, sf), max_domains=8))
+
+
+def training_corpus_tuned_only(spark: SparkSession, sf: str) -> DataFrame:
+    """Both kinds of rows where one domain has scores of the tuned model alone."""
+    sheet = derive.scores(spark, sf).where((F.col("ds") != "src5") | (F.col("model") != "base"))
+    return rounded_all(plan.training_corpus(
+        derive.corpus(spark, sf), derive.vectors(spark, sf), derive.parse_tokens(spark, sf), sheet, fill="hash"))
+
+
 def training_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return rounded_all(derive.feature_table(spark, sf))
 
@@ -158,21 +181,42 @@ def f_regression(spark: SparkSession, sf: str) -> DataFrame:
     return rounded_all(found, 3)
 
 
+def f_regression_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """A constant column scores 0, a perfectly correlated one the largest number there is."""
+    lines = derive.table(spark, sf, "lineitem").select(
+        "l_extendedprice", F.lit(3.0).alias("constant"), (F.col("l_extendedprice") * 2 + 1).alias("copy"), "l_discount",
+        F.when(F.col("l_linenumber") > 1, F.col("l_quantity")).alias("with_nulls"))
+    found = models.f_scores(lines, ["constant", "copy", "l_discount", "with_nulls"], "l_extendedprice")
+    return found.select("feature", (F.col("f_score") > 1e12).alias("perfect"),
+                        F.when(F.col("f_score") < 1e12, F.round("f_score", 3)).alias("f_score"))
+
+
+NATION_COLUMNS = ["n_nationkey", "n_regionkey", "name_length", "quarters", "thirds", "sevenths"]
+
+
+def selection_default_k(spark: SparkSession, sf: str) -> DataFrame:
+    """25 rows keep three of six columns: the root of the rows, minus 2."""
+    nation = derive.table(spark, sf, "nation").select(
+        "n_nationkey", "n_regionkey", F.length("n_name").alias("name_length"), (F.col("n_nationkey") % 4).alias("quarters"),
+        (F.col("n_nationkey") % 3).alias("thirds"), (F.col("n_nationkey") % 7).alias("sevenths"),
+        (F.col("n_nationkey") * F.col("n_nationkey") % 11).alias("label"))
+    _, names = models.select_features(nation, NATION_COLUMNS, "label")
+    return spark.createDataFrame([(n,) for n in names], "feature string")
+
+
 def _fitted(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """Coefficients of one model on line items, with the penalty it chose."""
     data = regression.prepare(_lines(spark, sf).select("row_key", "l_extendedprice", *LINE_COLUMNS),
                               LINE_COLUMNS, label="l_extendedprice")
+    # from column products: exact, where an iterative fit stops within a tolerance
     train = data.where(~F.col("is_test")).persist()
+    parts = models.moments(train, LINE_COLUMNS, "label", "lasso_fold")
+    total, penalty = sum(parts.values()), 0.0
     if name == "lasso":
-        # from column products: exact, where an iterative fit stops within a tolerance
-        parts = models.moments(train, LINE_COLUMNS, "label", "lasso_fold")
         penalty = models.lasso_penalty(parts)
-        intercept, beta = models.linear_solution(name, sum(parts.values()), penalty)
-    else:
-        ridge = name == "ridge"
-        penalty = models.ridge_penalty(train, LINE_COLUMNS, "label") if ridge else 0.0
-        fitted = (models.ridge(train, penalty) if ridge else models.linear()).fit(train)
-        intercept, beta = fitted.intercept, fitted.coefficients
+    if name == "ridge":
+        penalty = models.ridge_penalty(train, LINE_COLUMNS, "label", total=total)
+    intercept, beta = models.linear_solution(name, total, penalty)
     train.unpersist()
     rows = [("intercept", penalty, float(intercept))]
     rows += [(c, penalty, float(b)) for c, b in zip(LINE_COLUMNS, beta)]
@@ -294,7 +338,8 @@ QUERIES = {
         normalize_features_compat, mode_design_matrix, category_index, standardize,
         standardize_compat, f_regression, ols_simple, ols_fit, ridge_fit, lasso_fit,
         regression_metrics, kfold_scores, gbt_fit, forest_fit, run_regression, regression_sweep,
-        predict_unseen, selection_counts, result_compare, sweep_linear,
+        predict_unseen, selection_counts, result_compare, sweep_linear, score_duplicates,
+        pair_features_first_domains, training_corpus_tuned_only, f_regression_edges, selection_default_k,
         *[design_matrix_query(mode) for mode in fixed.EXCLUDED if mode != "all-raw"],
     ]
 }

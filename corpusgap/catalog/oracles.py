@@ -188,6 +188,8 @@ def bucket(key: str, n: int) -> str:
 INSTRUCTION = " || chr(10)".join(quote(p) for p in fixed.INSTRUCTION.split("\n")[:1])
 
 TEXT_SQL = {
+    # the table is one file in the order of its ids
+    "corpus_without_ids": "select doc_id, source, md5(text) as text_md5 from documents",
     "corpus_scan": """
 select 'documents' as domain, case when (doc_id // 20) % 5 = 0 then 'test' else 'train' end as split,
        doc_id, text, summary

@@ -38,6 +38,13 @@ def corpus_scan(spark: SparkSession, sf: str) -> DataFrame:
     return corpora.load_corpus(spark, "documents", sf, min_input_size=200, specs=DRIVER_SPECS)
 
 
+def corpus_without_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as a corpus without ids: rows are numbered in the order of the files, copies too."""
+    raw = derive.table(spark, sf, "documents").select("source", "text")
+    numbered = corpora.with_doc_id(raw)
+    return numbered.select("doc_id", "source", F.md5("text").alias("text_md5"))
+
+
 def split_scan(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.pick_split(derive.corpus(spark, sf), "test")
 
@@ -270,7 +277,7 @@ def pair_distances(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in [
-        corpus_scan, split_scan, csv_roundtrip, score_scan, ingest_admissible, combine_columns,
+        corpus_scan, corpus_without_ids, split_scan, csv_roundtrip, score_scan, ingest_admissible, combine_columns,
         combine_list_field, instruction_prompt, embed_truncate, chunk_text, preview_per_split,
         train_cap, profile_cap, holdout_split, kfold_assign, ft_export, tokenize, token_filter,
         term_frequency, term_probability, shannon_entropy, domain_profile, dependency_length,

@@ -41,7 +41,7 @@ def word_count(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Remove all white space at both ends (Spark's trim alone removes blanks only)."""
+    """Remove the characters of BLANKS at both ends (Spark's trim alone removes blanks only)."""
     return F.btrim(text, F.lit(BLANKS))
 
 

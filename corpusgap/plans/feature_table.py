@@ -20,14 +20,16 @@ def all_distances(corpus: DataFrame, vectors: DataFrame, resolved: DataFrame,
 
 
 def join_features(resolved: DataFrame, distances: DataFrame, difficulty: DataFrame,
-                  scores: DataFrame, fill: str | None = None, compat: bool = False) -> DataFrame:
-    """One feature row per resolved pair.
+                  scores: DataFrame, fill: str | None = None, compat: bool = False,
+                  score_order: str | None = None) -> DataFrame:
+    """One feature row per resolved pair. Of several score rows of one key the first by the column
+    `score_order` of `scores` counts.
 
     Difficulty is that of the target's test split. With compat the distances are taken with
     source and target exchanged and the names of the two mean scores are exchanged, as in
     tables made before this engine; y_drop is the same either way.
     """
-    metrics = pairs.metrics_of(scores)
+    metrics = [m for m in pairs.metrics_of(scores) if m != score_order]
     hard = difficulty.where(F.col("split") == "test").select(
         F.col("domain").alias("target"), fixed.DIFFICULTY
     )
@@ -37,7 +39,7 @@ def join_features(resolved: DataFrame, distances: DataFrame, difficulty: DataFra
             "source_split", "target_split", *fixed.DISTANCES,
         )
     joined = (
-        pairs.attach_scores(resolved, scores, fill)
+        pairs.attach_scores(resolved, scores, fill, score_order)
         .join(distances, distance.PAIR, "left")
         .join(hard, "target", "left")
     )
@@ -55,13 +57,14 @@ def join_features(resolved: DataFrame, distances: DataFrame, difficulty: DataFra
 def pair_features(corpus: DataFrame, vectors: DataFrame, parse: DataFrame, scores: DataFrame,
                   tuned: bool = False, base_model: str = "base", tuned_model: str = "tuned",
                   max_domains: int | None = None, fill: str | None = None,
-                  compat: bool = False, top_terms: int = fixed.TOP_TERMS) -> DataFrame:
+                  compat: bool = False, top_terms: int = fixed.TOP_TERMS,
+                  score_order: str | None = None) -> DataFrame:
     """Feature rows of all pairs of the domains in the score table."""
     resolved = pairs.resolve_pairs(
         pairs.domain_pairs(pairs.domains_of(scores, max_domains)), tuned, base_model, tuned_model
     )
     return join_features(resolved, all_distances(corpus, vectors, _both_ways(resolved, compat), top_terms),
-                         syntax.learning_difficulty(parse), scores, fill, compat)
+                         syntax.learning_difficulty(parse), scores, fill, compat, score_order)
 
 
 def _both_ways(resolved: DataFrame, compat: bool) -> DataFrame:
@@ -86,7 +89,7 @@ def training_corpus(corpus: DataFrame, vectors: DataFrame, parse: DataFrame, sco
                     base_model: str = "base", tuned_model: str = "tuned",
                     untuned_domains: tuple[str, ...] = ("aclsum",), fill: str | None = None,
                     compat: bool = False, top_terms: int = fixed.TOP_TERMS,
-                    max_domains: int | None = None) -> DataFrame:
+                    max_domains: int | None = None, score_order: str | None = None) -> DataFrame:
     """Zero-shot and fine-tuned feature rows in one table, of the first `max_domains` by name.
 
     Distances and difficulty do not depend on fine-tuning and are computed once, for the pairs of
@@ -106,7 +109,7 @@ def training_corpus(corpus: DataFrame, vectors: DataFrame, parse: DataFrame, sco
     distances = pin(all_distances(corpus, vectors, _both_ways(wanted, compat), top_terms))
     difficulty = pin(syntax.learning_difficulty(parse))
     tables = [
-        join_features(resolved[tuned], distances, difficulty, parts[tuned], fill, compat)
+        join_features(resolved[tuned], distances, difficulty, parts[tuned], fill, compat, score_order)
         for tuned in (False, True)
     ]
     return tables[0].unionByName(tables[1], allowMissingColumns=True)

@@ -22,13 +22,14 @@ def scan(spark: SparkSession, spec: CorpusSpec, root: str) -> DataFrame:
     return spark.read.format(spec.file_format).load(f"{root.rstrip('/')}/{spec.path}")
 
 
-def scan_csv(spark: SparkSession, data_files, schema: T.StructType | str | None = None) -> DataFrame:
+def scan_csv(spark: SparkSession, data_files, schema: T.StructType | str | None = None,
+             quoted_breaks: bool = True) -> DataFrame:
     """CSV rows with a header. Files are one path or a list (split 'train'), or a map from split
-    to path or list. Without a schema every column is a string. Quoted line breaks are allowed, so
-    a file is one task: write corpora as several files."""
+    to path or list. Without a schema every column is a string. With `quoted_breaks` fields may
+    hold line breaks, and a file is one task; without, large files are split."""
     if not isinstance(data_files, dict):
         data_files = {"train": data_files}
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", quoted_breaks).option("escape", '"')
     if schema is not None:
         reader = reader.schema(schema)
     parts = [
