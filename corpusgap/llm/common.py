@@ -52,14 +52,14 @@ class Scratch:
         self._keep.append(out)
         return out
 
-    def put_buckets(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+    def put_buckets(self, df: DataFrame, key: str, buckets: int, codec: str = "none") -> DataFrame:
         """Like `put`, bucketed by key: grouping or joining by it does not shuffle the table again."""
         name = f"scratch_{uuid.uuid4().hex}"
         path = f"{self.root}/{name}"
         before = self.spark.conf.get(CLEANUP)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.option("path", path).option("compression", "none").bucketBy(buckets, key).saveAsTable(name)
+            df.write.option("path", path).option("compression", codec).bucketBy(buckets, key).saveAsTable(name)
         finally:
             self.spark.conf.set(CLEANUP, before)
         out = self.spark.table(name)

@@ -134,8 +134,10 @@ def write_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHAR
     """
     scratch = Scratch(docs.sparkSession, "tokens")
     stride = length * ID_BYTES
+    buckets = min(PARTS, max(8, docs.rdd.getNumPartitions()))  # as many as the reading has tasks
+    put = tokenized(docs, length, path).withColumn("range", _part()).repartition(buckets, "range")
+    coded = scratch.put_buckets(put, "range", buckets, codec="zstd")
     n_seqs = (F.octet_length("ids") / stride).cast("long")
-    coded = scratch.put(tokenized(docs, length, path).withColumn("range", _part()), codec="lz4")
     sizes = coded.groupBy("range").agg(F.sum(n_seqs).alias("n")).collect()  # a row per range
     before = np.zeros(PARTS + 1, np.int64)
     for r in sizes:
@@ -145,34 +147,27 @@ def write_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHAR
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, used = -1, 0  # the range that is being numbered, its sequences so far
         for batch in batches:
-            if not batch.num_rows:
-                continue
             ids = batch.column("ids")
+            if not len(ids):
+                continue
             bounds = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset:ids.offset + len(ids) + 1].astype(np.int64)
             counts = np.diff(bounds) // stride
-            ranges = batch.column("range").to_numpy()
-            first = np.cumsum(counts) - counts
-            fresh = np.flatnonzero(np.diff(ranges, prepend=-1 if ranges[0] != now else now))
-            base = np.zeros(len(counts), np.int64)  # number of a row's first sequence
-            starts = [0, *fresh[fresh > 0].tolist()]
-            for a, b in zip(starts, [*starts[1:], len(counts)]):
-                if ranges[a] != now:
-                    now, used = int(ranges[a]), 0
-                base[a:b] = before[now] + used + first[a:b] - first[a]
-                used += int(counts[a:b].sum())
             row = np.repeat(np.arange(len(counts)), counts)
-            part = np.arange(len(row)) - first[row]
+            part = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
+            number = before[batch.column("range").to_numpy()] + batch.column("first").to_numpy()
             left = batch.column("n_tokens").to_numpy()[row] - part * length
+            # the padded ids of a batch lie one behind the other: sequences are cuts of the same bytes
             cuts = pa.py_buffer((bounds[0] + np.arange(len(row) + 1) * stride).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slots(base[row] + part, n, key)), batch.column("doc_id").take(pa.array(row)), pa.array(part),
+                [pa.array(slots(number[row] + part, n, key)), batch.column("doc_id").take(pa.array(row)), pa.array(part),
                  pa.array(np.minimum(left, length)), pa.Array.from_buffers(pa.binary(), len(row), [None, cuts, ids.buffers()[2]])],
                 names=["slot", "doc_id", "part", "n_tokens", "payload"])
 
-    ordered = coded.repartition("range").sortWithinPartitions("range", "place", "text_hash", "doc_id")
-    placed = ordered.select("range", "doc_id", "n_tokens", "ids").mapInArrow(
+    # the table is bucketed by range: numbering sorts its rows, but moves none
+    so_far = Window.partitionBy("range").orderBy("place", "text_hash", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = coded.withColumn("first", F.sum(n_seqs).over(so_far) - n_seqs)
+    placed = numbered.select("range", "first", "doc_id", "n_tokens", "ids").mapInArrow(
         place, f"slot long, doc_id {kind}, part long, n_tokens long, payload binary")
     shard = F.floor(F.col("slot") / per_shard).cast("int")
     dealt = placed.withColumn("shard", shard).withColumn("byte_offset", (F.col("slot") % per_shard) * stride)
