@@ -99,6 +99,23 @@ def test_lines_edges(spark):
     assert twice.count() == 2
 
 
+def test_lines_of_identical_rows(spark):
+    """Each component keeps one line, also among rows that nothing tells apart."""
+    same = "x y\n\nsecond line of the text"
+    docs = docs_of(spark, [same, same, same, "x y\nlast", "no copy"], doc_id=[1, 1, 1, 5, 6])
+    decided = line_dedup.decide(docs)
+    rows = sorted((r["doc_id"], r["n_dropped"], r["dropped"]) for r in line_dedup.per_document(decided).collect())
+    assert rows == [(1, 0, []), (1, 2, [0, 2]), (1, 2, [0, 2]), (5, 1, [0]), (6, 0, [])]
+    left = sorted((r["doc_id"], r["text"]) for r in line_dedup.clean(docs, decided).collect())
+    assert left == [(1, ""), (1, ""), (1, same), (5, "last"), (6, "no copy")]
+
+
+def test_lines_with_ids_that_are_no_numbers(spark):
+    docs = docs_of(spark, ["equal line of text", "equal line of text", "other"]).withColumn("doc_id", F.concat(F.lit("id-"), "doc_id"))
+    rows = {r["doc_id"]: r["n_dropped"] for r in line_dedup.per_document(line_dedup.decide(docs)).collect()}
+    assert sorted(rows) == ["id-0", "id-1", "id-2"] and sum(rows.values()) == 1 and rows["id-2"] == 0
+
+
 # 2 decontamination
 
 def words_of(text):
