@@ -1,5 +1,6 @@
 """Specs, caps, filters, folds, sinks and parses."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,24 @@ def test_score_sheet_is_read_by_column_name(spark, tmp_path):
     path = tables.write_csv(sheet, str(tmp_path / "scores"))
     row = tables.read_scores(spark, path, metrics=["rouge1"]).first()
     assert row.asDict() == {"ds": "a", "split": "test", "model": "base", "rouge1": 0.5}
+
+
+def test_sentences_in_pieces_and_with_gaps_keep_their_trees(spark):
+    """Tokens of a sentence far apart, beyond bytes, from 2 ** 40 on, without head or position; keys that are null."""
+    rng = np.random.default_rng(1)
+    heads = [0, *[int(rng.integers(0, i)) for i in range(1, 500)]]
+
+    def depth(i):
+        return 1 if heads[i] == i else 1 + depth(heads[i])
+
+    rows = [("d", "test", None, s, start + i, start + h) for s, start in ((0, 0), (1, 1 << 40)) for i, h in enumerate(heads)]
+    rows += [("d", None, 1, 2, i, 0) for i in range(200)] + [("d", "test", 1, 3, 0, 0), ("d", "test", 1, 3, 1, None)]
+    rows += [("d", "test", 1, 4, None, 0), ("d", "test", 1, 4, 0, 0), ("d", "test", 1, 5, None, None)]
+    rows = [rows[k] for k in rng.permutation(len(rows))]
+    df = spark.createDataFrame(rows, "domain string, split string, doc_id bigint, sent_id int, i bigint, head bigint").repartition(3)
+    found = syntax.sentence_depths(df)
+    got = {r["sent_id"]: (r["tokens"], r["length"], r["is_tree"], r["tree_depth"]) for r in found.collect()}
+    tree = (500, sum(i - h for i, h in enumerate(heads)), True, max(depth(i) for i in range(500)))
+    assert got == {0: tree, 1: tree, 2: (200, sum(range(200)), True, 2), 3: (2, 0, False, None), 4: (2, 0, False, None), 5: (1, None, False, None)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.index("Aggregate") < plan.rindex("MapInArrow")  # tokens are gathered before the shuffle
