@@ -36,6 +36,17 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], salt: str, n: int
     )
 
 
+def without_low(df: DataFrame, keys: list[str], level: Column, n: int, groups_are_few: bool) -> DataFrame:
+    """Rows of every group without those that cannot be among its n highest by an order of which the integer
+    `level` is a rough copy (a row never is more than one level below a row that it goes before). Only
+    counts per level are shuffled; the level that the n-th row is in and the one below stay whole."""
+    levels = df.groupBy(*keys, level.alias("_level")).agg(F.count("*").alias("_rows"))
+    above = Window.partitionBy(*keys).orderBy(F.col("_level").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    needed = levels.withColumn("_above", F.coalesce(F.sum("_rows").over(above), F.lit(0))).where(F.col("_above") < n)
+    lowest = needed.groupBy(*keys).agg(F.min("_level").alias("_lowest"))
+    return df.join(small_side(lowest, groups_are_few), keys).where(level >= F.col("_lowest") - 1).drop("_lowest")
+
+
 def first_n(df: DataFrame, keys: list[str], order: str, n: int,
             only: Column | None = None) -> DataFrame:
     """Keep exactly the n first rows of every group by the column `order`, nulls last.

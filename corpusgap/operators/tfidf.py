@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusgap.functions import fixed_values as fixed
 from corpusgap.functions import text as tx
 from corpusgap.operators.profile import GROUP
-from corpusgap.operators.ranking import top_n
+from corpusgap.operators.ranking import top_n, without_low
 from corpusgap.runtime import pin, small_side
 
 
@@ -47,6 +47,8 @@ def document_terms(corpus: DataFrame, stop_words=fixed.ENGLISH_STOP_WORDS) -> Da
 # So many (domain, split, term) rows count as heavy at most, and so many bytes of them are broadcast.
 MOST_HEAVY = 100_000
 MAX_HEAVY_BYTES = 64 << 20
+# One document in so many tells which terms are likely to be frequent.
+SAMPLED = 64
 
 
 def heavy_limit(rows: int, most: int = MOST_HEAVY) -> int:
@@ -68,29 +70,48 @@ def with_idf(pairs: DataFrame, idf: DataFrame, limit: int) -> DataFrame:
     return looked_up.unionByName(rest.join(light, key))
 
 
+def frequent_terms(pairs: DataFrame) -> DataFrame | None:
+    """(domain, split, term, _df) of terms that are likely in many documents, few enough to broadcast; None
+    if there are none or they take too many bytes. Which terms are listed is guessed from one document in
+    SAMPLED, their counts are exact."""
+    key = [*GROUP, "term"]
+    some = pairs.where(F.pmod(F.xxhash64(*GROUP, "doc_id"), F.lit(SAMPLED)) == 0)
+    limit = heavy_limit(some.count())
+    listed = pin(some.groupBy(*key).agg(F.count("*").alias("_df")).where(F.col("_df") >= limit).select(*key))
+    size = listed.agg(F.sum(F.octet_length("term") + F.octet_length("domain") + F.octet_length("split") + 64)).first()[0] or 0
+    if not 0 < size <= MAX_HEAVY_BYTES:
+        return None
+    return pin(pairs.join(F.broadcast(listed), key).groupBy(*key).agg(F.count("*").alias("_df")))
+
+
+def with_frequency(pairs: DataFrame) -> DataFrame:
+    """pairs (domain, split, term, ...) with _df, the number of rows of their term. Frequent terms are counted
+    before a shuffle and looked up in a broadcast table; the rows of the others are shuffled once, by
+    their term, and counted where they meet."""
+    key = [*GROUP, "term"]
+    counted = lambda rows: rows.withColumn("_df", F.count("*").over(Window.partitionBy(*key)))
+    frequent = frequent_terms(pairs)
+    if frequent is None:
+        return counted(pairs)
+    rest = pairs.join(F.broadcast(frequent.select(*key)), key, "left_anti")
+    return pairs.join(F.broadcast(frequent), key).unionByName(counted(rest))
+
+
 def document_weights(corpus: DataFrame, groups_are_few: bool,
                      stop_words=fixed.ENGLISH_STOP_WORDS) -> DataFrame:
     """(domain, split, doc_id, term, tf, weight) with rows of unit length per document.
 
-    Counts are stored once and read twice, for the document frequencies and for the weights. Only
-    terms of few documents take part in the long join. The norm is a window over one document,
-    whose terms came from one input row.
+    Rows move by term, where documents are counted, and by document, where the norm is a window over
+    one document, whose terms came from one input row. What moves is counts; weights follow from them
+    after the move.
     """
-    pairs = pin(document_terms(corpus, stop_words))
+    pairs = with_frequency(pin(document_terms(corpus, stop_words)))
     sizes = small_side(corpus.groupBy(*GROUP).agg(F.count("*").alias("_docs")), groups_are_few)
-    idf = pin(
-        pairs.groupBy(*GROUP, "term").agg(F.count("*").alias("_df"))
-        .join(sizes, GROUP)
-        .select(*GROUP, "term", "_df",
-                (F.ln((F.col("_docs") + 1) / (F.col("_df") + 1)) + 1).alias("_idf"))
-    )
-    document = Window.partitionBy(*GROUP, "doc_id")
-    raw = with_idf(pairs, idf, heavy_limit(pairs.count())).withColumn("_raw", F.col("tf") * F.col("_idf"))
-    return raw.select(
-        *GROUP, "doc_id", "term", "tf",
-        (F.col("_raw") / F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(document)))
-        .alias("weight"),
-    )
+    idf = F.ln((F.col("_docs") + 1) / (F.col("_df") + 1)) + 1
+    key = [*GROUP, "doc_id"]
+    raw = pairs.repartition(*key).join(sizes, GROUP).withColumn("_raw", F.col("tf") * idf)
+    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(*key)))
+    return raw.select(*key, "term", "tf", (F.col("_raw") / norm).alias("weight"))
 
 
 def term_scores(corpus: DataFrame, groups_are_few: bool,
@@ -108,4 +129,7 @@ def top_terms(corpus: DataFrame, groups_are_few: bool, n: int = fixed.TOP_TERMS,
     addition count as ties.
     """
     order = [F.round("score", 9).desc(), F.col("term").desc()]
-    return top_n(term_scores(corpus, groups_are_few, stop_words), GROUP, order, "term", n)
+    scores = pin(term_scores(corpus, groups_are_few, stop_words))
+    # a level is wider than what rounding changes
+    level = F.floor(F.log2(F.greatest("score", F.lit(1e-6))) * 16).cast("int")
+    return top_n(without_low(scores, GROUP, level, n, groups_are_few), GROUP, order, "term", n)

@@ -218,3 +218,23 @@ def test_tokens_of_odd_texts(spark):
     every = df.select(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"), F.lit(0)).alias("t"),
                       F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)).alias("w")).collect()
     assert got == every and got[0]["t"] == ["𝒜b", "𝒜", "😀", "b", "😀", "😀", "c"]
+
+
+def test_low_scores_go_before_terms_are_ranked(spark, monkeypatch):
+    from corpusgap.operators import ranking
+
+    rng = np.random.default_rng(6)
+    rows = [(g, "test", f"t{i}", float(s)) for g in "ab" for i, s in enumerate(np.round(rng.zipf(1.4, 400) * 0.1, 3))]
+    df = pin(spark.createDataFrame(rows, "domain string, split string, term string, score double"))
+    level = F.floor(F.log2(F.greatest("score", F.lit(1e-6))) * 16).cast("int")
+    kept = {(r["domain"], r["term"]) for r in ranking.without_low(df, ["domain", "split"], level, 20, True).collect()}
+    best = {(g, r[2]) for g in "ab" for r in sorted((x for x in rows if x[0] == g), key=lambda x: (x[3], x[2]))[-20:]}
+    assert best <= kept and len(kept) < len(rows) / 2
+    seen = []
+    monkeypatch.setattr(tfidf, "top_n", lambda df, *rest: seen.append(df.count()) or ranking.top_n(df, *rest))
+    texts = [" ".join(f"w{i}x" for i in range(k, 300)) for k in range(0, 300, 20)]
+    corpus = pin(spark.createDataFrame([("a", "test", i, t) for i, t in enumerate(texts)], "domain string, split string, doc_id long, text string"))
+    every = tfidf.term_scores(corpus, True).collect()
+    top = {r["term"] for r in tfidf.top_terms(corpus, True, 10).collect()}
+    assert top == {r["term"] for r in sorted(every, key=lambda r: (round(r["score"], 9), r["term"]))[-10:]}
+    assert seen[0] < len(every)
