@@ -76,5 +76,5 @@ def pin(df: DataFrame) -> DataFrame:
     all of them see the same rows, and a lost executor does not bring its sources back.
     """
     path = shared_folder(df.sparkSession, "pinned")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
