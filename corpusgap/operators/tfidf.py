@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusgap.functions import fixed_values as fixed
 from corpusgap.functions import text as tx
+from corpusgap.operators import term_blocks
 from corpusgap.operators.profile import GROUP
 from corpusgap.operators.ranking import top_n, without_low
 from corpusgap.runtime import pin, small_side
@@ -114,11 +115,31 @@ def document_weights(corpus: DataFrame, groups_are_few: bool,
     return raw.select(*key, "term", "tf", (F.col("_raw") / norm).alias("weight"))
 
 
+def _repeated(corpus: DataFrame) -> bool:
+    """Whether documents of one (domain, split) share an id."""
+    return not corpus.groupBy(*GROUP, "doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
 def term_scores(corpus: DataFrame, groups_are_few: bool,
                 stop_words=fixed.ENGLISH_STOP_WORDS) -> DataFrame:
-    """(domain, split, term, score): the weights of a term summed over documents."""
-    weights = document_weights(corpus, groups_are_few, stop_words)
-    return weights.groupBy(*GROUP, "term").agg(F.sum("weight").alias("score"))
+    """(domain, split, term, score): the weights of a term summed over documents.
+
+    Documents lie in blocks. A block sends one list of its distinct terms per (domain, split) and part of the
+    terms, gets their document frequencies back, weighs its documents by itself, and sends sums per
+    term. So no row per document and term is moved or sorted. Documents that share an id share a norm,
+    wherever they lie: a corpus with such ids takes the long way over `document_weights`.
+    """
+    if _repeated(corpus):
+        weights = document_weights(corpus, groups_are_few, stop_words)
+        return weights.groupBy(*GROUP, "term").agg(F.sum("weight").alias("score"))
+    sizes = pin(corpus.groupBy(*GROUP).agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars")))
+    parts = max(1, -(-(sizes.agg(F.max("chars")).first()[0] or 0) // term_blocks.PART_CHARS))
+    # a group without a name is in no pair
+    named = corpus.where(F.col("domain").isNotNull() & F.col("split").isNotNull())
+    blocks = pin(term_blocks.blocks(named.select(*GROUP, tx.long_words(F.col("text")).alias("words")), stop_words, parts))
+    lists = blocks.where("part is not null").drop("codes", "tf")
+    counted = term_blocks.with_frequency(lists.join(small_side(sizes.drop("chars"), groups_are_few), GROUP))
+    return term_blocks.merged(term_blocks.weighed(blocks.where("part is null").select("block", "codes", "tf"), counted))
 
 
 def top_terms(corpus: DataFrame, groups_are_few: bool, n: int = fixed.TOP_TERMS,

@@ -238,3 +238,35 @@ def test_low_scores_go_before_terms_are_ranked(spark, monkeypatch):
     top = {r["term"] for r in tfidf.top_terms(corpus, True, 10).collect()}
     assert top == {r["term"] for r in sorted(every, key=lambda r: (round(r["score"], 9), r["term"]))[-10:]}
     assert seen[0] < len(every)
+
+
+def test_scores_move_lists_of_terms_and_not_rows_per_document(spark):
+    from corpusgap.operators import term_blocks
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{min(int(x), 300)}é the" for x in rng.zipf(1.3, rng.integers(0, 60))) for _ in range(40)] + [None, "", "the a"]
+    rows = [("abc"[i % 3], "test" if i % 5 else "train", i, t) for i, t in enumerate(texts)] + [(None, "test", 99, "w1é w2é")]
+    kind = "domain string, split string, doc_id long, text string"
+    corpus = pin(spark.createDataFrame(rows, kind).repartition(3))
+    sums = lambda df: {(r[0], r[1], r[2]): r[3] for r in df.collect()}
+    by_rows = lambda df: sums(tfidf.document_weights(df, True).groupBy("domain", "split", "term").agg(F.sum("weight")))
+    want = by_rows(corpus)
+    found = tfidf.term_scores(corpus, True)
+    got = sums(found)
+    assert got.keys() == want.keys() and len(want) > 100 and all(got[k] == pytest.approx(v, abs=1e-12) for k, v in want.items())
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    # blocks of a few words, several parts of each group
+    words = corpus.where("domain is not null").select("domain", "split", tfidf.tx.long_words(F.col("text")).alias("words"))
+    blocks = pin(term_blocks.blocks(words, ENGLISH_STOP_WORDS, 3, most_words=50))
+    assert blocks.select("block").distinct().count() > 20 and {r[0] for r in blocks.select("part").distinct().collect()} == {None, 0, 1, 2}
+    assert blocks.agg(F.max(F.octet_length("codes")) <= 4 * 60).first()[0]
+    sizes = corpus.groupBy("domain", "split").agg(F.count("*").alias("docs"))
+    lists = term_blocks.with_frequency(blocks.where("part is not null").drop("codes", "tf").join(sizes, ["domain", "split"]))
+    got = sums(term_blocks.merged(term_blocks.weighed(blocks.where("part is null").select("block", "codes", "tf"), lists)))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-12) for k, v in want.items())
+    # documents that share an id share a norm
+    twice = pin(spark.createDataFrame([("a", "test", 1, "cat dog"), ("a", "test", 1, "cat bird"), ("a", "test", 2, "fish"),
+                                       ("a", "test", None, "cat"), ("a", "test", None, "stone fish")], kind))
+    got, want = sums(tfidf.term_scores(twice, True)), by_rows(twice)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-12) for k, v in want.items())
+    assert tfidf.term_scores(corpus.limit(0), True).count() == 0
