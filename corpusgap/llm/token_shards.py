@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,6 +38,7 @@ ID_BYTES = 2  # little-endian; vocabularies up to 65,536 ids
 END = 50_256  # the id that ends a text
 PARTS = 4096  # ranges of hashes that are numbered one by one
 ROUNDS = 6
+BATCH_BYTES = 1 << 20  # of texts that are tokenized at once, and of what crosses to Python at once
 KEY = 0x5EED
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -80,6 +82,19 @@ class Chunks(dict):
         return self.plain(first) + b"".join(map(self.__getitem__, others))
 
 
+def small(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in runs of at most `most` bytes of text; a longer text is alone. Texts, ids and
+    padded ids of a run lie in memory together, several times the bytes of its texts."""
+    for batch in batches:
+        start = held = 0
+        for i, n in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
+            if held and held + n > most:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        yield batch.slice(start)
+
+
 def tokenized(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> DataFrame:
     """docs (doc_id, text) -> doc_id, place (a hash of id and text), text_hash, n_tokens, ids (binary): the ids of each
     text end with END and are padded with it to whole sequences."""
@@ -88,7 +103,7 @@ def tokenized(docs: DataFrame, length: int = LENGTH, path: str | None = None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks, end = Chunks(path), np.array([END], "<u2").tobytes()
         padding = end * length
-        for batch in batches:
+        for batch in small(batches):
             coded = [chunks.encode(t) for t in batch.column("text").to_pylist()]
             n = [len(c) // ID_BYTES + 1 for c in coded]
             ids = pa.array([c + padding[:(-len(c) - 1) % stride + 1] for c in coded], pa.binary())
@@ -136,7 +151,7 @@ def write_order(docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHAR
     stride = length * ID_BYTES
     buckets = min(PARTS, max(8, docs.rdd.getNumPartitions()))  # as many as the reading has tasks
     put = tokenized(docs, length, path).withColumn("range", _part()).repartition(buckets, "range")
-    coded = scratch.put_buckets(put, "range", buckets, codec="zstd")
+    coded = scratch.put_buckets(put, "range", buckets, codec="zstd", batch_bytes=BATCH_BYTES)
     n_seqs = (F.octet_length("ids") / stride).cast("long")
     sizes = coded.groupBy("range").agg(F.sum(n_seqs).alias("n")).collect()  # a row per range
     before = np.zeros(PARTS + 1, np.int64)

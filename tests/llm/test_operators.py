@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusgap.llm import (
     chat, components, decontamination, jaccard_join, language, licenses, line_dedup, mixing, quality, token_shards, toxicity,
 )
-from corpusgap.llm.common import Scratch
+from corpusgap.llm.common import BATCH, Scratch
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, key string, row_hash string, id_hash int, root int, doc int, n int"
 
@@ -287,6 +287,29 @@ def test_slots_follow_from_the_rows_alone(spark, tmp_path):
     assert {None, 2**60 + 1} <= {v[0] for v in want.values()}
 
 
+def test_texts_are_tokenized_in_small_batches(spark):
+    import pyarrow as pa
+
+    texts = ["ab" * n for n in (300, 1, 0, 5000, 2, 3)] * 50
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": texts})
+    cut = list(token_shards.small([batch, batch.slice(0, 0)], 1000))
+    assert [t for b in cut for t in b.column("text").to_pylist()] == texts
+    assert len(cut) > 100 and all(b.num_rows <= 1 or sum(map(len, b.column("text").to_pylist())) <= 1000 for b in cut)
+
+    # what crosses to Python is small too, while the table is written and not later
+    docs, before = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), spark.conf.get(BATCH)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"range": [0], "rows": [b.num_rows]})
+
+    for most, many in ((4000, True), (None, False)):
+        written = Scratch(spark, "sizes").put_buckets(docs.mapInArrow(sizes, "range long, rows long"), "range", 1, batch_bytes=most)
+        got = [r["rows"] for r in written.collect()]
+        assert sum(got) == 300 and (len(got) > 20) == many
+    assert spark.conf.get(BATCH) == before
+
+
 def test_written_shards(spark, tmp_path):
     docs = docs_of(spark, [words(40, i) for i in range(60)])
     folder = f"{tmp_path}/out"
