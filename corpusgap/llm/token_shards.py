@@ -43,43 +43,51 @@ KEY = 0x5EED
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
-# Before a blank between two other characters every piece of the tokenizer's pattern ends, so what
-# lies between such places is encoded on its own, and remembered.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
-class Chunks(dict):
-    """Ids of a blank and the characters up to the next one; a bounded memory, emptied when full."""
-
-    MOST, LONGEST = 300_000, 40
+class Chunks:
+    """Ids of texts, as bytes. Before a blank between two other characters every piece of the tokenizer's pattern ends, so
+    in texts whose blanks all are such, a blank and what follows up to the next one is encoded on its own: once for all
+    equal ones of a batch, all of a batch in one call. Remembering them from batch to batch takes more time than it saves."""
 
     def __init__(self, path: str | None = None):
-        super().__init__()
         import public_tokenizers
         import tiktoken
 
         with open(path or public_tokenizers.path(TOKENIZER), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def plain(self, chunk: str) -> bytes:
-        return np.array(self.coder.encode_ordinary(chunk), "<u2").tobytes()
-
-    def __missing__(self, rest: str) -> bytes:
-        coded = self.plain(" " + rest)
-        if len(rest) <= self.LONGEST:
-            if len(self) >= self.MOST:
-                self.clear()
-            self[rest] = coded
-        return coded
-
-    def encode(self, text: str) -> bytes:
-        if _OTHER_SPACE.search(text) or "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
-            first, *others = _CUT.split(text)  # some blanks stand beside white space
-            return self.plain(first) + b"".join([self[x[1:]] for x in others])
-        first, *others = text.split(" ")
-        return self.plain(first) + b"".join(map(self.__getitem__, others))
+        self.blank_led = np.zeros(max(ranks.values()) + 1, bool)
+        self.blank_led[[i for token, i in ranks.items() if token[:1] == b" "]] = True
+
+    def plain(self, text: str) -> bytes:
+        return np.array(self.coder.encode_ordinary(text), "<u2").tobytes()
+
+    @staticmethod
+    def regular(text: str) -> bool:
+        """Whether each blank is between two other characters that are no white space."""
+        beside = "  " in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1:] in " \n"
+        return not (beside or _OTHER_SPACE.search(text))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        regular = [i for i, t in enumerate(texts) if self.regular(t)]
+        words = pc.split_pattern(pa.array([texts[i] for i in regular], pa.string()), " ")
+        told = words.flatten().dictionary_encode()
+        distinct = pa.ListArray.from_arrays(pa.array([0, len(told.dictionary)], pa.int32()), told.dictionary)
+        ids = np.array(self.coder.encode_ordinary(" " + pc.binary_join(distinct, " ")[0].as_py()) if regular else [], "<u2")
+        starts = np.flatnonzero(self.blank_led[ids])
+        if len(starts) != len(told.dictionary):  # a vocabulary with blanks inside its entries
+            return [self.plain(t) for t in texts]
+        word, first = told.indices.to_numpy(), words.offsets.to_numpy()
+        lengths = np.diff(starts, append=len(ids))[word]
+        lengths[first[:-1]] = 0  # no blank leads a text
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        raw = ids[np.repeat(starts[word] - ends[:-1], lengths) + np.arange(ends[-1])].tobytes()
+        bounds = (ends[first] * ID_BYTES).tolist()
+        rest = {i: raw[a:b] for i, a, b in zip(regular, bounds, bounds[1:])}
+        return [self.plain(t.split(" ", 1)[0]) + rest[i] if i in rest else self.plain(t) for i, t in enumerate(texts)]
 
 
 def small(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -104,7 +112,7 @@ def tokenized(docs: DataFrame, length: int = LENGTH, path: str | None = None) ->
         chunks, end = Chunks(path), np.array([END], "<u2").tobytes()
         padding = end * length
         for batch in small(batches):
-            coded = [chunks.encode(t) for t in batch.column("text").to_pylist()]
+            coded = chunks.encode(batch.column("text").to_pylist())
             n = [len(c) // ID_BYTES + 1 for c in coded]
             ids = pa.array([c + padding[:(-len(c) - 1) % stride + 1] for c in coded], pa.binary())
             yield pa.RecordBatch.from_arrays(

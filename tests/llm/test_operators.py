@@ -268,6 +268,27 @@ def test_tokens_round_trip(spark):
     assert token_shards.write_order(docs.limit(0)).count() == 0
 
 
+def test_words_are_encoded_once_a_batch():
+    """Ids of the whole text, whatever its white space; equal words cost one encoding."""
+    odd = ["", " ", "\n", "a", "a b", " a b", "a b ", "a  b", "a \nb", "a\n b", "a\nb c\n\nd", "\na b", "a b\n", "a\tb c", "é 漢字 🙂", "a\xa0b c",
+           "a\x1cb c", "x" * 50 + " b", "don't 12 ab"]
+    chunks = token_shards.Chunks()
+    want = {t: np.array(chunks.coder.encode_ordinary(t), "<u2").tobytes() for t in odd}
+    assert chunks.encode(odd) == [want[t] for t in odd] and chunks.encode([]) == []
+    for t in odd:
+        assert chunks.encode([t]) == [want[t]]
+    given = []
+
+    class Counted:
+        def encode_ordinary(self, text, coder=chunks.coder):
+            given.append(text)
+            return coder.encode_ordinary(text)
+
+    chunks.coder = Counted()
+    assert len(chunks.encode(["begin " + words(100)] * 30)) == 30
+    assert sum(map(len, given)) < 2 * len(words(100))
+
+
 def test_slots_follow_from_the_rows_alone(spark, tmp_path):
     """Other files, splits, orders and partitions, the same slots."""
     texts = [words(5 + i % 37, i) for i in range(300)] + [words(20)] * 5
