@@ -88,6 +88,26 @@ def test_lines_against_brute_force(spark):
     assert {r["doc_id"]: r["dropped"] for r in rows if r["dropped"]} == {i: sorted(x) for i, x in want.items() if x}
 
 
+def test_lines_by_builtin_functions_alone(spark, monkeypatch):
+    """No Python workers, whichever way a line is signed and compared; near lines of different ways are found."""
+    from pyspark.sql import DataFrame
+
+    for owner, name in [(DataFrame, "mapInArrow"), (DataFrame, "mapInPandas"), (F, "pandas_udf"), (F, "udf")]:
+        monkeypatch.setattr(owner, name, None)
+    monkeypatch.setattr(line_dedup, "LIMIT", 2)  # buckets of more lines meet by their rarest shingles
+    phrase, many = "ha hi ho hu he ", words(170, 5000)
+    texts = [
+        words(26), words(26)[:-1], words(23), words(23) + " w23x",  # around MANY words
+        many, many.replace("w5100x", "w51oox"), words(149, 7000), words(150, 7000),  # around DENSE words
+        phrase * 3, phrase * 60, "漢字" * 40 + "かな" * 30, "漢字" * 40 + "かな" * 31, "http://a.b/" + "q1w2e3r4t5y6" * 9 + "zz", "http://a.b/" + "q1w2e3r4t5y6" * 9 + "zy",
+        "short line", "short line.", "tiny", "tiny", "no\tblanks\tin\tthis\tline\tbut\ttabs", "no\tblanks\tin\tthis\tline\tbut\ttab",
+        *[f"{words(30, 9000)} {i:07d}" for i in range(8)], "🙂🙃" * 9, "🙂🙃" * 8 + "🙂"]
+    want = line_brute(list(enumerate(texts)))
+    rows = line_dedup.per_document(line_dedup.decide(docs_of(spark, texts))).collect()
+    assert {r["doc_id"]: r["dropped"] for r in rows if r["dropped"]} == {i: sorted(x) for i, x in want.items() if x}
+    assert sum(map(len, want.values())) >= 15
+
+
 def test_lines_edges(spark):
     docs = docs_of(spark, ["same line here\nsame line here", "same line here", None, "same line here"], doc_id=[4, 3, 1, None])
     decided = line_dedup.decide(docs)
