@@ -108,6 +108,19 @@ def test_lines_by_builtin_functions_alone(spark, monkeypatch):
     assert sum(map(len, want.values())) >= 15
 
 
+def test_lines_signed_by_few_aggregates(spark):
+    """A piece updates one value a band, not one a permutation; near lines of all lengths are found, repeats or not."""
+    lines = spark.createDataFrame([(1, 1, "some line")], "key long, place long, line string")
+    plan = line_dedup._signed(lines, line_dedup.SIZE)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("min(") + plan.count("bit_or(") <= line_dedup.BANDS + 1
+    texts = [f"{words(n, 1000 * n)}{end}" for n in range(6, 400, 23) for end in ("", " z")]
+    texts += ["ha hi ho hu he " * n for n in (3, 9, 300)]
+    rows = line_dedup.per_document(line_dedup.decide(docs_of(spark, texts))).collect()
+    want = line_brute(list(enumerate(texts)))
+    assert {r["doc_id"]: r["dropped"] for r in rows if r["dropped"]} == {i: sorted(x) for i, x in want.items() if x}
+    assert sum(map(len, want.values())) >= 18
+
+
 def test_lines_edges(spark):
     docs = docs_of(spark, ["same line here\nsame line here", "same line here", None, "same line here"], doc_id=[4, 3, 1, None])
     decided = line_dedup.decide(docs)
