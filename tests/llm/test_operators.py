@@ -108,17 +108,18 @@ def test_lines_by_builtin_functions_alone(spark, monkeypatch):
     assert sum(map(len, want.values())) >= 15
 
 
-def test_lines_signed_by_few_aggregates(spark):
-    """A piece updates one value a band, not one a permutation; near lines of all lengths are found, repeats or not."""
-    lines = spark.createDataFrame([(1, 1, "some line")], "key long, place long, line string")
-    plan = line_dedup._signed(lines, line_dedup.SIZE)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("min(") + plan.count("bit_or(") <= line_dedup.BANDS + 1
-    texts = [f"{words(n, 1000 * n)}{end}" for n in range(6, 400, 23) for end in ("", " z")]
-    texts += ["ha hi ho hu he " * n for n in (3, 9, 300)]
-    rows = line_dedup.per_document(line_dedup.decide(docs_of(spark, texts))).collect()
-    want = line_brute(list(enumerate(texts)))
-    assert {r["doc_id"]: r["dropped"] for r in rows if r["dropped"]} == {i: sorted(x) for i, x in want.items() if x}
-    assert sum(map(len, want.values())) >= 18
+def test_lines_false_pairs_stop_at_the_sample(spark):
+    """Samples stop most pairs of lines that have no shingle in common, short lines too, and no pair at the threshold."""
+    apart = [" ".join(f"{(i * 7919 + k * 104729) % 1000003:06d}" for k in range(6)) for i in range(30)]
+    near = [line[:-4] + "z" * 2 for line in apart]
+    rows = spark.createDataFrame([(i, line) for i, line in enumerate([*apart, *near])], "key long, line string")
+    tokens = rows.select("key", line_dedup.shingles(F.col("line")).alias("tokens"))
+    told = tokens.select("key", F.struct(F.size("tokens").alias("n"), F.filter(
+        "tokens", lambda t: t.bitwiseAND(line_dedup.SAMPLE - 1) == 0).alias("sample")).alias("told"))
+    pairs = told.select(F.col("key").alias("a"), F.col("told").alias("x")).join(told.select(F.col("key").alias("b"), F.col("told").alias("y")), F.expr("a < b"))
+    left = {(r["a"], r["b"]) for r in pairs.where(line_dedup._alike(0.8)).select("a", "b").collect()}
+    same = {(i, i + 30) for i in range(30)}
+    assert same <= left and len(left - same) <= 0.5 * (pairs.count() - 30)
 
 
 def test_lines_edges(spark):
