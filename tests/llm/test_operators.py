@@ -108,6 +108,36 @@ def test_lines_by_builtin_functions_alone(spark, monkeypatch):
     assert sum(map(len, want.values())) >= 15
 
 
+def test_lines_of_many_words_are_signed_by_all_shingles(spark):
+    """Near lines whose shingles agree and whose words differ: the first letter of every seventh word is another one."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for i in range(40):
+        own = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxy"), 11)) for _ in range((42, 84, 168, 224)[i % 4])]
+        texts += [" ".join(own), " ".join("z" + x[1:] if k % 7 == 3 else x for k, x in enumerate(own))]
+    want = line_brute(list(enumerate(texts)))
+    assert {i: list(x) for i, x in want.items()} == {2 * i + 1: [0] for i in range(40)}
+    rows = line_dedup.per_document(line_dedup.decide(docs_of(spark, texts))).collect()
+    assert {r["doc_id"]: r["dropped"] for r in rows if r["dropped"]} == {i: sorted(x) for i, x in want.items()}
+
+
+def test_lines_of_few_shingles_meet_those_of_more(spark):
+    """Sizes around those at which lines are signed by bins, by permutations and in both ways; a long line may have few shingles."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for n in range(6, 160, 2):
+        line = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzäß"), n + 8))
+        few = max(1, n // 12)
+        texts += [line, line + "".join(rng.choice(list("0123456789"), few)), line[few:]]
+    for n in (12, 30, 45, 60, 75, 90):
+        piece = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+        texts += [piece * 3, piece * 20 + piece[:3], piece[:9] + "-" + piece * 40]
+    want = line_brute(list(enumerate(texts)))
+    rows = line_dedup.per_document(line_dedup.decide(docs_of(spark, texts))).collect()
+    assert {r["doc_id"]: r["dropped"] for r in rows if r["dropped"]} == {i: sorted(x) for i, x in want.items() if x}
+    assert sum(map(len, want.values())) >= 150
+
+
 def test_lines_false_pairs_stop_at_the_sample(spark):
     """Samples stop most pairs of lines that have no shingle in common, short lines too, and no pair at the threshold."""
     apart = [" ".join(f"{(i * 7919 + k * 104729) % 1000003:06d}" for k in range(6)) for i in range(30)]
